@@ -103,7 +103,7 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in function(small(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in to], schema=to)
+            yield pa.RecordBatch.from_arrays([pa.array(_plain(out[f.name]), f.type) for f in to], schema=to)
 
     def small(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[dict[str, list]]:
         for batch in batches:
@@ -114,6 +114,10 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def _plain(values):
+    return list(values) if isinstance(values, (range, tuple)) else values
+
+
 #: The SQL types that operators return.
 _TYPES = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),

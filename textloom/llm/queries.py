@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, decontaminate, exact, license
-from textloom.llm.common import table
+from textloom.llm import bpe, decontaminate, exact, license, simhash, tokenfile
+from textloom.llm.common import Workspace, table
 
 
 def vocabulary() -> str:
@@ -16,6 +16,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Ends each document in a token file.
+END_ID = 2
+
+
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = Workspace(spark, "token-file").path
+    tokenfile.write(table(spark, sf_dir, "documents"), vocabulary(), to, end_id=END_ID)
+    return tokenfile.read(spark, to, ids=False)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
@@ -24,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
