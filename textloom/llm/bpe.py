@@ -127,7 +127,7 @@ class BpeModel:
 
     def _encode_text(self, text: str) -> bytes:
         out, at, cached = [], 0, self.cached
-        if len(cached) > 300_000:
+        if len(cached) > 50_000:
             cached.clear()
         for m in [*self.at_added.finditer(text), None]:
             for piece in self.pieces.findall(text[at : m.start() if m else None]):
@@ -146,6 +146,11 @@ class BpeModel:
         """Ids as packed little-endian unsigned 32-bit integers."""
         return [self._encode_text(x) for x in texts]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The same for letters with a space before them, each of which is one piece."""
+        ids, encode = self.ids, self.encode_bytes
+        return [ids[encode(b" " + x.encode())].tobytes() for x in words]
+
     def decode(self, ids: bytes) -> bytes:
         """The text of packed ids in UTF-8; broken sequences become U+FFFD."""
         at = np.frombuffer(ids, "<u4")
@@ -162,7 +167,7 @@ class BpeModel:
 def model(path: str) -> tuple[BpeModel, ChunkCache]:
     """One to a Python worker."""
     found = BpeModel(path)
-    return found, ChunkCache(found.encode_batch)
+    return found, ChunkCache(found.encode_batch, found.encode_words)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

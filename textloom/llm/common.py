@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from textloom.runtime import ship
 
@@ -114,6 +115,35 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def append(df: DataFrame, text_col: str, start: Callable[[], Callable[[list[str]], list]], name: str, kind: str) -> DataFrame:
+    """df with one more column made from its texts (a null text is empty), row by row in place: nothing is shuffled.
+
+    start() is called once in each task and gives the function of a batch's texts.
+    """
+    ship(df.sparkSession)
+    if name in df.columns:
+        raise ValueError(f"{name} is a column already")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
+        for batch in batches:
+            step = max(1, min(batch.num_rows, int(batch.num_rows * 8_000_000 / max(1, batch.nbytes))))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                made = function([x or "" for x in part.column(text_col).to_pylist()])
+                yield part.append_column(name, pa.array(_plain(made), _TYPES[kind]))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, _SPARK_TYPES[kind])]))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with further underscores, so that it isn't a column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _plain(values):
     return list(values) if isinstance(values, (range, tuple)) else values
 
@@ -125,25 +155,34 @@ _TYPES = {
 }
 
 
+_SPARK_TYPES = {"boolean": BooleanType(), "double": DoubleType(), "long": LongType(), "string": StringType()}
+
+
 def _arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in schema.split(",")])
 
 
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: White space that isn't a single space or line feed between two other characters.
 ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 
 
 class ChunkCache:
-    """Encodes texts chunk by chunk and remembers chunks.
+    """Encodes texts chunk by chunk and remembers chunks and words.
 
     The byte-level pre-tokenizer always starts a piece at a lone space or line feed between two other characters, so
     the ids of a text are those of its chunks, each with the white space before it, one after another. Texts with
-    other white space are encoded whole. `encode` gets distinct strings and returns their ids as packed bytes.
+    other white space are encoded whole. A chunk of letters with ASCII marks after it is two pieces. `texts` encodes
+    distinct strings, `words` distinct strings of letters with a space before each; both return packed ids.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 64):
-        self.encode, self.most, self.longest = encode, most, longest
+    def __init__(self, texts: Callable[[list[str]], list[bytes]], words: Callable[[list[str]], list[bytes]], most: int = 300_000, longest: int = 48):
+        self.texts, self.words, self.most, self.longest = texts, words, most, longest
         self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}  # words; the older ones go when these are many
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces: list[list[str]] = []
@@ -158,16 +197,47 @@ class ChunkCache:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        new = [x for x in set().union(*pieces) if x not in known] if pieces else []
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, ids in zip(part, self.encode([self._whole(x) for x in part]), strict=True):
-                (known if len(x) <= self.longest else extra)[x] = ids
-        if extra:
-            return [b"".join([known[x] if x in known else extra[x] for x in own]) for own in pieces]
+        new = set().union(*pieces).difference(known)
+        self._learn(new)
         get = known.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+        out = [b"".join(map(get, own)) for own in pieces]
+        for x in new:
+            if len(x) > self.longest:
+                del known[x]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        if len(self.marks) > self.most:
+            self.marks.clear()
+        young, old, marks, known = self.young, self.old, self.marks, self.known
+        split, whole, words, ends = [], [], set(), set()
+        for x in new:
+            w = x.rstrip(MARKS)
+            if w.isalpha():
+                split.append((x, w))
+                if w not in young:
+                    if w in old:
+                        young[w] = old[w]
+                    else:
+                        words.add(w)
+                if (end := x[len(w) :]) and end not in marks:
+                    ends.add(end)
+            else:
+                whole.append(x)
+        for many, encode, into in ((list(words), self.words, young), (list(ends), self.texts, marks)):
+            for at in range(0, len(many), 2048):
+                part = many[at : at + 2048]
+                into.update(zip(part, encode(part), strict=True))
+        for at in range(0, len(whole), 2048):
+            part = whole[at : at + 2048]
+            known.update(zip(part, self.texts([self._whole(x) for x in part]), strict=True))
+        for x, w in split:
+            known[x] = young[w] + marks[x[len(w) :]] if len(x) > len(w) else young[w]
+        for w in words:
+            if len(w) > self.longest:
+                del young[w]
 
     @staticmethod
     def _whole(piece: str) -> str:

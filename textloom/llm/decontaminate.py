@@ -10,13 +10,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD_BYTES, Workspace, id_text, map_rows
+from textloom.llm.common import WORD_BYTES, Workspace, append, id_text, map_rows
 
 #: Words of one item in a window.
 WINDOW = 10
@@ -111,6 +111,22 @@ def scan(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, id_col: str
     return map_rows(found, _finisher(), schema)
 
 
+def append_hits(docs: DataFrame, bench: DataFrame, name: str, *, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs as they are, with the number of hit words in a further column. Several blocks add theirs one after another,
+    so that a word hit in two counts twice; 0 still means that nothing was found."""
+    total = None
+    for n, block in enumerate(_blocks(bench, item_id, item_text, block_words)):
+        own = f"{name}_{n}"
+
+        def start(block: list[tuple[int, str]] = block) -> Callable[[list[str]], list[int]]:
+            finder = _windows(block, window)
+            return lambda texts: [sum(b - a for a, b in finder.scan(words(t))[0]) for t in texts]
+
+        docs = append(docs, text_col, start, own, "long")
+        total = F.col(own) if total is None else total + F.col(own)
+    return docs.withColumn(name, total).drop(*[f"{name}_{i}" for i in range(n + 1)])
+
+
 def _chain(first, more, blocks):
     yield first
     yield more

@@ -9,14 +9,14 @@ mean of its units' vectors, a stretch for each reading.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fold_col, id_text, map_rows
+from textloom.llm.common import append, fold_col, id_text, map_rows
 
 #: Units of all readings; entries of a vector, and how many of an index vector are not 0.
 UNITS, WIDTH, FILLED = 2048, 64, 6
@@ -247,6 +247,19 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, train: int
     return fit(x, got["quality"].to_numpy(np.float64))
 
 
+def append_score(docs: DataFrame, labels: DataFrame, name: str, *, id_col: str = "doc_id", text_col: str = "text", train: int = TRAIN) -> DataFrame:
+    """docs as they are, with their scores in a further column."""
+    base = id_text(docs, id_col, text_col)
+    vectors = word_vectors(base)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, learn(base, labels, vectors, train=train)))
+
+    def start() -> Callable[[list[str]], np.ndarray]:
+        vectors, net = shared.value
+        return lambda texts: net.probability(features(texts, vectors).astype(np.float64))
+
+    return append(docs, text_col, start, name, "double")
+
+
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train: int = TRAIN) -> DataFrame:
     """doc_id, held_out, score (probability of quality 1), predicted (score >= THRESHOLD): one row for each row of docs.
 
@@ -255,16 +268,6 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     count. Without labels of both kinds the score is the labels' share. An empty table gives none. Word vectors are
     learned from all texts, whole; of docs and labels only the named columns are read.
     """
-    base = id_text(docs, id_col, text_col)
-    vectors = word_vectors(base)
-    net = learn(base, labels, vectors, train=train)
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
-
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        vectors, net = shared.value
-        for x in batches:
-            p = net.probability(features(x["text"], vectors).astype(np.float64))
-            yield {"doc_id": x["doc_id"], "held_out": x["held_out"], "score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
-
-    rows = base.withColumn("held_out", fold_col(F.col("doc_id"), FOLDS) == HELD_OUT)
-    return map_rows(rows, run, "doc_id long,held_out boolean,score double,predicted int")
+    rows = append_score(id_text(docs, id_col, text_col), labels, "score", train=train)
+    held_out = fold_col(F.col("doc_id"), FOLDS) == HELD_OUT
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

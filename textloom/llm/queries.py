@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, decontaminate, exact, hmm, langid, license, quality, simhash, tokenfile
+from textloom.llm import bpe, decontaminate, exact, hmm, langid, license, quality, simhash, tokenfile, warc
 from textloom.llm.common import Workspace, table
 
 
@@ -34,6 +34,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 

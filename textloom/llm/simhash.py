@@ -48,14 +48,16 @@ def fingerprint(own: list[bytes], shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (its 64 bits as a signed long); a null text is empty and has fingerprint zero."""
+    """doc_id, fingerprint (its 64 bits as a signed long), text_key (tells apart texts of one id); a null text is empty
+    and has fingerprint zero."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in batches:
             prints = np.array([fingerprint(words(t), shingle) for t in x["text"]], "<u8")
-            yield {"doc_id": x["doc_id"], "fingerprint": prints.view("<i8")}
+            yield {"doc_id": x["doc_id"], "fingerprint": prints.view("<i8"), "text_key": x["text_key"]}
 
-    return map_rows(id_text(docs, id_col, text_col), run, "doc_id long,fingerprint long")
+    rows = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return map_rows(rows, run, "doc_id long,fingerprint long,text_key long")
 
 
 def keys(bits: int, parts: int, match: int) -> list[int]:
@@ -181,7 +183,8 @@ def _links(radius: int):
 
 
 def classes(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
-    """doc_id, fingerprint (16 lower-case hexadecimal digits), component_id (the smallest id that links lead to).
+    """doc_id, fingerprint (16 lower-case hexadecimal digits), component_id (the smallest id that links lead to), kept
+    (one row of each class, with the smallest id), text_key.
 
     A null text counts as empty; texts without words have fingerprint zero and are linked like any other. Fewer words
     than a shingle are one shingle. Rows that repeat are each returned with the same class; null ids are passed over
@@ -189,12 +192,16 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, id
     """
     space = Workspace(docs.sparkSession, "simhash")
     rows = space.save(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "rows")
-    prints = space.save(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")  # null ids come last
+    prints = space.save(rows.groupBy("fingerprint").agg(F.min(own).alias("least")), "prints")
     groups = ["band", "key", "i", "j"]
     dealt = _dealt(prints, choice(prints.count(), radius), part, space)
     dealt = dealt.repartition(*groups).sortWithinPartitions(*groups, "side", "fingerprint")
     joined = components(map_rows(dealt, _links(radius), "a long,b long"), space)
     of = prints.join(joined, prints.fingerprint == joined.a, "left").select("fingerprint", "least", F.coalesce("b", "fingerprint").alias("class"))
-    named = of.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = space.save(of.join(named, "class").select("fingerprint", "component_id"), "named")
-    return rows.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    named = of.groupBy("class").agg(F.min("least").alias("first"))
+    named = space.save(of.join(named, "class").select("fingerprint", "first"), "named")
+    return rows.join(named, "fingerprint").select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"),
+        (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))).alias("kept"), "text_key",
+    )

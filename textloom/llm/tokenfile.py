@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -151,7 +152,22 @@ def _tokenizer(path: str) -> ChunkCache:
     found = Tokenizer.from_file(native_path(path))
     found.no_truncation()
     found.no_padding()
-    return ChunkCache(lambda texts: [np.array(x.ids, "<u4").tobytes() for x in found.encode_batch_fast(texts, add_special_tokens=False)])
+    starts = np.zeros(found.get_vocab_size(with_added_tokens=True), bool)
+    starts[[i for x, i in found.get_vocab().items() if x.startswith("Ġ")]] = True  # the letter for a space
+
+    def texts(many: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in found.encode_batch_fast(many, add_special_tokens=False)]
+
+    def words(many: list[str]) -> list[bytes]:
+        """One text of all words: a word's ids begin with the only one that begins with its space."""
+        ids = np.array(found.encode_batch_fast([" " + " ".join(many)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * np.flatnonzero(starts[ids])).tolist()
+        if len(cuts) != len(many):
+            return texts([" " + x for x in many])
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+
+    return ChunkCache(texts, words)
 
 
 _PACKED = "part int,seq long,doc_id long,start long,n_tokens long,ids binary"
