@@ -100,8 +100,18 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, *, head: int = HEAD, symbols: int = SYMBOLS) -> Vocabulary:
-    """From the table of counts: as many rows as the head and the classes have come to the driver."""
-    top = counts.orderBy(F.desc("seen"), "token").limit(head).toPandas()
+    """From the table of counts: as many rows as the head and the classes have come to the driver.
+
+    The head is all tokens that are seen so often (in steps of a twentieth) that there are at most `head` of them.
+    """
+    step = F.floor(F.log("seen") * 20)
+    room, least = head, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = counts.where(step >= least if least is not None else F.lit(False)).toPandas()
     by_class = counts.groupBy("class").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).toPandas()
     n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     n[by_class["class"]], v[by_class["class"]] = by_class["n"], by_class["v"]
