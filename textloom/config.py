@@ -32,7 +32,7 @@ class EngineConfig:
     brutal_replacements: Mapping[str, str] = field(default_factory=dict)
     #: A whole dictionary in place of the short built-in one.
     indonesian: Mapping[str, str] | None = None
-    #: Also keep fenced code, links and addresses out of the passes before and after the protected ones.
+    #: Keep fenced code, links and addresses out of the language pass too, which by default sees them again.
     strict_protect: bool = False
 
     def __post_init__(self) -> None:

@@ -13,6 +13,7 @@ from math import ceil, log
 from textloom.config import EngineConfig, at_least
 from textloom.functions import dicts, redact
 from textloom.functions.json_shred import length16, shred
+from textloom.functions.languages import CHINESE
 from textloom.functions.reduce import CODE_FILE, CODE_LINE, FRAME, IMPORT, SIGNATURES
 from textloom.functions.text import LINE, SPACE, SPACES, word, words
 
@@ -157,6 +158,24 @@ def _steps(mode: str, abbreviations: tuple, brutal: tuple) -> list[Callable[[str
     return lexical_steps(mode, EngineConfig(abbreviations=dict(abbreviations), brutal_replacements=dict(brutal)))
 
 
+def language_pass(text: str, cfg: EngineConfig) -> str:
+    """As the expression of the same name."""
+    head = text[:500]
+    if len(re.findall(r"[\u3040-\u30ff]", head)) > 5:
+        for k, v in dicts.JAPANESE.items():
+            text = text.replace(k, v)
+        return text
+    if len(re.findall(r"[\u4e00-\u9fff]", head)) > 10:
+        for particle, ahead in CHINESE:
+            text = re.sub(particle + ahead, "", text)
+        return text
+    local = dict(cfg.indonesian) if cfg.indonesian is not None else dicts.INDONESIAN
+    entries = local if len(_re(words(dicts.INDONESIAN_MARKS)).findall(head)) >= 3 else dicts.ENGLISH
+    for step in _dictionary(entries):
+        text = step(text)
+    return text
+
+
 def compress(text: str, original: str, mode: str, cfg: EngineConfig, name: str | None = None) -> str:
     """From JSON to restored blocks. `original` is the text before any pass."""
     text = shred(text)[0] or ""
@@ -174,7 +193,7 @@ def compress(text: str, original: str, mode: str, cfg: EngineConfig, name: str |
     for step in _steps(mode, tuple(cfg.abbreviations.items()), tuple(cfg.brutal_replacements.items())):
         out = step(out)
     out = trim(re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", out)))
-    return blocks.restore(out)
+    return blocks.restore(language_pass(out, cfg) if cfg.strict_protect else out)
 
 
 # --- functions and classes by name -------------------------------------------------------------------------------
