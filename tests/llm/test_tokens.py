@@ -74,6 +74,15 @@ def test_token_file_is_not_reordered_when_in_order(spark, library, odd_rows, tmp
     assert [[*np.frombuffer(r.ids, "<u4")] for r in rows] == [ids_of(library, t) + [2] for _, t in odd_rows]
 
 
+def test_token_file_over_several_batches(spark, library, tmp_path):
+    text = "the quick brown fox " * 60_000
+    docs = spark.createDataFrame([(i, text + str(i)) for i in range(6)], "doc_id long, text string").coalesce(1)
+    tokenfile.write(docs, PATH, str(tmp_path / "t"), end_id=2)
+    rows = sorted(tokenfile.read(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == list(range(6)) and rows[5].start == sum(r.n_tokens for r in rows[:5])
+    assert [*np.frombuffer(rows[3].ids, "<u4")] == ids_of(library, text + "3") + [2]
+
+
 def test_empty(spark, empty, tmp_path):
     assert bpe.digests(empty, PATH).count() == 0
     tokenfile.write(empty, PATH, str(tmp_path / "t"), end_id=2)

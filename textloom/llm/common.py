@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import os
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from textloom.runtime import ship
-
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from textloom.workspace import scratch
 
 #: Letters and digits of ASCII and everything beyond ASCII are word characters; A-Z is lowered.
 WORD_BYTES = bytes(
@@ -27,18 +24,6 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. A local session without one gets its own."""
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
-    path = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    spark.conf.set(CHECKPOINT_KEY, path)
-    return path
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -50,7 +35,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = scratch(spark, name)
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -106,7 +91,7 @@ def map_rows(
         for out in function(small(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(_plain(out[f.name]), f.type) for f in to], schema=to)
 
-    def small(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[dict[str, list]]:
+    def small(batches: Iterator[pa.RecordBatch], most: int = 3_000_000) -> Iterator[dict[str, list]]:
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * most / max(1, batch.nbytes))))
             for i in range(0, batch.num_rows, step):
@@ -164,8 +149,14 @@ def _arrow_schema(schema: str) -> pa.Schema:
 
 #: ASCII characters that are neither letters, digits nor white space.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-#: White space that isn't a single space or line feed between two other characters.
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+#: White space other than spaces and line feeds.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def odd_space(text: str) -> bool:
+    """Whether some white space isn't a single space or line feed between two other characters."""
+    runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+    return runs or text[:1].isspace() or text[-1:].isspace() or OTHER_SPACE.search(text) is not None
 
 
 class ChunkCache:
@@ -187,7 +178,7 @@ class ChunkCache:
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces: list[list[str]] = []
         for text in texts:
-            if ODD_SPACE.search(text):
+            if odd_space(text):
                 pieces.append(["\r" + text])
                 continue
             own = text.replace("\n", " \n").split(" ")

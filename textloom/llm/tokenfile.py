@@ -171,31 +171,61 @@ def _tokenizer(path: str) -> ChunkCache:
 
 
 _PACKED = "part int,seq long,doc_id long,start long,n_tokens long,ids binary"
+#: The number of the row that sums up a part: its ids counted, their number, the first and last doc_id, in order or not.
+SUMMARY = -1
+_LEAST = -(1 << 63)  # stands for a null id
 
 
-def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (16 bits each if end_id and all others fit, else 32), in the order of the input, numbered in parts."""
+class _Part:
+    """Numbers rows in a task and sums them up in a last row."""
 
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    def __init__(self) -> None:
         from pyspark import TaskContext
 
-        encode, part = _tokenizer(path), TaskContext.get().partitionId()
-        seq, start, end = 0, 0, np.array([end_id], "<u4").tobytes()
+        self.part = TaskContext.get().partitionId()
+        self.seq = self.start = 0
+        self.first = self.last = self.least = self.most = None
+        self.ascends = True
+        self.counts = np.zeros(1, np.int64)
+
+    def rows(self, doc_ids: list[int | None], ids: list[np.ndarray]) -> dict[str, list]:
+        sizes = [len(i) for i in ids]
+        if doc_ids:
+            n = np.bincount(np.concatenate(ids), minlength=len(self.counts))
+            n[: len(self.counts)] += self.counts
+            own = np.array([_LEAST if d is None else d for d in doc_ids])
+            self.ascends &= bool((own[1:] >= own[:-1]).all() and (self.last is None or own[0] >= self.last))
+            self.counts, self.last = n, int(own[-1])
+            low, high = int(own.min()), int(own.max())
+            self.least = low if self.least is None else min(low, self.least)
+            self.most = high if self.most is None else max(high, self.most)
+        starts = (np.cumsum(sizes) - sizes + self.start).tolist() if sizes else []
+        out = {"part": [self.part] * len(ids), "seq": range(self.seq, self.seq + len(ids)), "doc_id": doc_ids, "start": starts, "n_tokens": sizes, "ids": [_narrow(i) for i in ids]}
+        self.seq, self.start = self.seq + len(ids), self.start + sum(sizes)
+        return out
+
+    def summary(self) -> Iterator[dict[str, list]]:
+        if self.seq:
+            used = np.flatnonzero(self.counts)
+            packed = bytes([self.ascends]) + np.stack([used, self.counts[used]]).astype("<i8").tobytes()
+            yield {"part": [self.part], "seq": [SUMMARY], "doc_id": [self.least], "start": [self.most], "n_tokens": [self.start], "ids": [packed]}
+
+
+def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id and packed ids in the order of the input, numbered in parts, each summed up in a last row."""
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        encode, part, end = _tokenizer(path), _Part(), np.array([end_id], "<u4").tobytes()
         for x in batches:
-            ids = [i + end for i in encode(x["text"])]
-            sizes = [len(i) // 4 for i in ids]
-            starts = (np.cumsum(sizes) - sizes + start).tolist() if sizes else []
-            yield {"part": [part] * len(ids), "seq": range(seq, seq + len(ids)), "doc_id": x["doc_id"], "start": starts, "n_tokens": sizes, "ids": [_narrow(i) for i in ids]}
-            seq, start = seq + len(ids), start + sum(sizes)
+            yield part.rows(x["doc_id"], [np.frombuffer(i + end, "<u4") for i in encode(x["text"])])
+        yield from part.summary()
 
-    # packed input rows keep their order within a part, and parts are numbered as the scan cuts them
     return map_rows(docs, run, _PACKED)
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Packed 32-bit ids as a width byte and 16-bit ids where they fit."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if wide.max(initial=0) < 65_536 else b"\4" + ids
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids as a width byte and 16 bits each where all fit, else 32."""
+    return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 65_536 else b"\4" + ids.astype("<u4").tobytes()
 
 
 def _wide(packed: bytes) -> np.ndarray:
@@ -206,31 +236,24 @@ def _renumbered(rows: DataFrame) -> DataFrame:
     """Sorted rows numbered anew in their new parts."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        from pyspark import TaskContext
-
-        part, seq, start = TaskContext.get().partitionId(), 0, 0
+        part = _Part()
         for x in batches:
-            n = x["n_tokens"]
-            yield x | {"part": [part] * len(n), "seq": range(seq, seq + len(n)), "start": (np.cumsum(n) - n + start).tolist() if n else []}
-            seq, start = seq + len(n), start + sum(n)
+            yield part.rows(x["doc_id"], [_wide(i) for i in x["ids"]])
+        yield from part.summary()
 
     return map_rows(rows, run, _PACKED)
 
 
 def _counts(rows: DataFrame) -> np.ndarray:
-    """How often each id occurs in all rows; as many entries as ids, summed in each task first."""
+    """How often each id occurs in all rows, from the parts' summaries; as many entries as ids come to the driver."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        total = np.zeros(1, np.int64)
         for x in batches:
-            if x["ids"]:
-                n = np.bincount(np.concatenate([_wide(i) for i in x["ids"]]), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        own = np.flatnonzero(total)
-        yield {"id": own, "n": total[own]}
-
-    got = map_rows(rows.select("ids"), run, "id long,n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for packed in x["ids"]:
+                own, n = np.frombuffer(packed, "<i8", offset=1).reshape(2, -1)
+                yield {"id": own, "n": n}
+
+    got = map_rows(rows.where(F.col("seq") == SUMMARY).select("ids"), run, "id long,n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max([r["id"] for r in got], default=0) + 1, np.int64)
     for r in got:
         out[r["id"]] = r["n"]
@@ -239,14 +262,9 @@ def _counts(rows: DataFrame) -> np.ndarray:
 
 def _bases(rows: DataFrame) -> tuple[dict[int, tuple[int, int]], bool]:
     """For each part its place and the ids before it, and whether rows ascend throughout. One row for each part."""
-    low = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    from pyspark.sql import Window
-
-    step = rows.select("part", "seq", "n_tokens", low.alias("id"))
-    before = F.lag("id").over(Window.partitionBy("part").orderBy("seq"))
-    found = step.withColumn("down", (before > F.col("id")).cast("int")).groupBy("part").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("n_tokens").alias("n"), F.max("down").alias("down"))
+    found = rows.where(F.col("seq") == SUMMARY).select("part", F.col("doc_id").alias("a"), F.col("start").alias("b"), F.col("n_tokens").alias("n"), (F.hex(F.substring("ids", 1, 1)) == "01").alias("ascends"))
     parts = sorted(found.collect(), key=lambda r: (r["a"], r["b"], r["part"]))
-    ascend = not any(r["down"] for r in parts) and all(x["b"] <= y["a"] for x, y in zip(parts, parts[1:], strict=False))
+    ascend = all(r["ascends"] for r in parts) and all(x["b"] <= y["a"] for x, y in zip(parts, parts[1:], strict=False))
     out, n = {}, 0
     for place, r in enumerate(parts):
         out[r["part"]] = (place, n)
@@ -267,11 +285,11 @@ def write(docs: DataFrame, path: str, to: str, *, end_id: int, id_col: str = "do
     code = code_lengths(_counts(rows))
     parts, ascend = _bases(rows)
     if not ascend:
-        rows = space.save(_renumbered(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")), "sorted")
+        rows = space.save(_renumbered(rows.where(F.col("seq") != SUMMARY).repartitionByRange("doc_id").sortWithinPartitions("doc_id")), "sorted")
         space.drop("rows")
         parts, _ = _bases(rows)
     spark.createDataFrame([(int(i), int(code[i])) for i in np.flatnonzero(code)], "id long, bits int").coalesce(1).write.mode("overwrite").parquet(f"{to}/code")
-    map_rows(rows, _block_writer(code.tobytes(), parts), "part int,first long,documents long,ids long,payload binary").write.mode("overwrite").option("compression", "none").parquet(f"{to}/blocks")
+    map_rows(rows.where(F.col("seq") != SUMMARY), _block_writer(code.tobytes(), parts), "part int,first long,documents long,ids long,payload binary").write.mode("overwrite").option("compression", "none").parquet(f"{to}/blocks")
     space.close()
 
 
