@@ -18,7 +18,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import ChunkCache, id_text, map_rows, native_path
+from textloom.llm.common import PieceEncoder, id_text, map_rows, native_path
 
 #: Pre-tokenization of byte-level BPE with contractions of English; fixed value of the file format ("use_regex").
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,10 +164,10 @@ class BpeModel:
 
 
 @lru_cache(maxsize=2)
-def model(path: str) -> tuple[BpeModel, ChunkCache]:
+def model(path: str) -> tuple[BpeModel, PieceEncoder]:
     """One to a Python worker."""
     found = BpeModel(path)
-    return found, ChunkCache(found.encode_batch, found.encode_words)
+    return found, PieceEncoder(found.encode_batch, found.encode_words)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

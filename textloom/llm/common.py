@@ -8,7 +8,9 @@ import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
@@ -159,76 +161,95 @@ def odd_space(text: str) -> bool:
     return runs or text[:1].isspace() or text[-1:].isspace() or OTHER_SPACE.search(text) is not None
 
 
-class ChunkCache:
-    """Encodes texts chunk by chunk and remembers chunks and words.
+class PieceEncoder:
+    """Encodes texts piece by piece, distinct pieces once a batch, and remembers words.
 
     The byte-level pre-tokenizer always starts a piece at a lone space or line feed between two other characters, so
-    the ids of a text are those of its chunks, each with the white space before it, one after another. Texts with
-    other white space are encoded whole. A chunk of letters with ASCII marks after it is two pieces. `texts` encodes
-    distinct strings, `words` distinct strings of letters with a space before each; both return packed ids.
+    the ids of a text are those of its pieces, each with the white space before it, one after another. Texts with
+    other white space are encoded whole. A piece of letters with ASCII marks after it is two: a word with a space
+    before it, and marks. `texts` encodes distinct strings, `words` distinct strings of letters with a space before
+    each; both return packed 32-bit ids. Splitting, finding distinct pieces and putting ids together is done by arrays.
     """
 
-    def __init__(self, texts: Callable[[list[str]], list[bytes]], words: Callable[[list[str]], list[bytes]], most: int = 300_000, longest: int = 48):
+    def __init__(self, texts: Callable[[list[str]], list[bytes]], words: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 48):
         self.texts, self.words, self.most, self.longest = texts, words, most, longest
-        self.known: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}  # words; the older ones go when these are many
         self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}  # other strings
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces: list[list[str]] = []
-        for text in texts:
-            if odd_space(text):
-                pieces.append(["\r" + text])
-                continue
-            own = text.replace("\n", " \n").split(" ")
-            # later chunks are kept without the space before them; what has none, first chunks and whole texts, is marked
-            own[0] = "\r" + own[0]
-            pieces.append(own)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = set().union(*pieces).difference(known)
-        self._learn(new)
-        get = known.__getitem__
-        out = [b"".join(map(get, own)) for own in pieces]
-        for x in new:
-            if len(x) > self.longest:
-                del known[x]
+        whole = [i for i, t in enumerate(texts) if odd_space(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, self.texts([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        odd = set(whole)
+        rest = [i for i in range(len(texts)) if i not in odd]
+        for i, ids in zip(rest, self._pieces([texts[i] for i in rest]) if rest else [], strict=True):
+            out[i] = ids
         return out
 
-    def _learn(self, new: set[str]) -> None:
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        # what has no space before it, first pieces and those after a line feed, begins with a mark
+        marked = pc.replace_substring(pa.array(["\r" + t for t in texts], pa.string()), "\n", " \n")
+        split = pc.split_pattern(marked, " ")
+        pieces = split.flatten().dictionary_encode()
+        at = pieces.indices.to_numpy()
+        stems = pc.utf8_rtrim(pieces.dictionary, MARKS).dictionary_encode()
+        stem_of = stems.indices.to_numpy()
+        names = _strings(stems.dictionary)
+        found = self._known(names)
+        wordy = np.array([x is not None for x in found], bool)
+        rest = pc.binary_length(pieces.dictionary).to_numpy() - pc.binary_length(stems.dictionary).to_numpy()[stem_of]
+        # segments: none, then stems (words; the others stay empty), then marks and pieces that aren't made of these two
+        other: dict[str, int] = {}
+        plain = wordy[stem_of]
+        first, second = np.where(plain, stem_of + 1, 0), np.zeros(len(plain), np.int32)
+        ended = np.flatnonzero(plain & (rest > 0))
+        second[ended] = [other.setdefault(x[-n:], len(other) + 1 + len(names)) for x, n in zip(_strings(pieces.dictionary.take(pa.array(ended))), rest[ended].tolist(), strict=True)]
+        whole = np.flatnonzero(~plain)
+        first[whole] = [other.setdefault(self._whole(x), len(other) + 1 + len(names)) for x in _strings(pieces.dictionary.take(pa.array(whole)))]
+        segments = pa.array([b"", *[x or b"" for x in found], *self._others(list(other))], pa.large_binary())
+        order = np.stack([first[at], second[at]], axis=1).ravel()
+        taken = pc.take(segments, pa.array(order))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(order) + 1)
+        raw = memoryview(taken.buffers()[2]) if taken.buffers()[2] is not None else memoryview(b"")
+        cuts = ends[2 * split.offsets.to_numpy()].tolist()
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _known(self, names: list[str]) -> list[bytes | None]:
+        """Ids of the names that are words, with a space before them; None for other names."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        if len(self.marks) > self.most:
-            self.marks.clear()
-        young, old, marks, known = self.young, self.old, self.marks, self.known
-        split, whole, words, ends = [], [], set(), set()
-        for x in new:
-            w = x.rstrip(MARKS)
-            if w.isalpha():
-                split.append((x, w))
-                if w not in young:
-                    if w in old:
-                        young[w] = old[w]
-                    else:
-                        words.add(w)
-                if (end := x[len(w) :]) and end not in marks:
-                    ends.add(end)
-            else:
-                whole.append(x)
-        for many, encode, into in ((list(words), self.words, young), (list(ends), self.texts, marks)):
-            for at in range(0, len(many), 2048):
-                part = many[at : at + 2048]
-                into.update(zip(part, encode(part), strict=True))
-        for at in range(0, len(whole), 2048):
-            part = whole[at : at + 2048]
-            known.update(zip(part, self.texts([self._whole(x) for x in part]), strict=True))
-        for x, w in split:
-            known[x] = young[w] + marks[x[len(w) :]] if len(x) > len(w) else young[w]
-        for w in words:
-            if len(w) > self.longest:
-                del young[w]
+        young, old = self.young, self.old
+        found = list(map(young.get, names))
+        new = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                x = names[i]
+                if (ids := old.get(x)) is not None:
+                    found[i] = young[x] = ids
+                elif x.isalpha():
+                    new.append(i)
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            for i, ids in zip(part, self.words([names[i] for i in part]), strict=True):
+                found[i] = ids
+                if len(names[i]) <= self.longest:
+                    young[names[i]] = ids
+        return found
+
+    def _others(self, many: list[str]) -> list[bytes]:
+        known = self.marks
+        if len(known) > self.most:
+            known.clear()
+        new = [x for x in many if x not in known]
+        made: dict[str, bytes] = {}
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            made.update(zip(part, self.texts(part), strict=True))
+        out = [known[x] if x in known else made[x] for x in many]
+        known.update((x, ids) for x, ids in made.items() if len(x) <= self.longest)
+        return out
 
     @staticmethod
     def _whole(piece: str) -> str:
@@ -237,6 +258,11 @@ class ChunkCache:
         return piece if piece[:1] == "\n" else " " + piece
 
 
+def _strings(array: pa.Array) -> list[str]:
+    """As to_pylist(), without a scalar for each."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def native_path(path: str) -> str:
     """A tokenizer file is given by a path on every machine; it isn't shipped."""
     if not os.path.exists(path):

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ChunkCache, Workspace, id_text, map_rows, native_path
+from textloom.llm.common import PieceEncoder, Workspace, id_text, map_rows, native_path
 
 #: Most bits of a code word; the decoding table has 2 to this power entries.
 MAX_BITS = 20
@@ -145,7 +145,7 @@ def unpack(code: Code, payload: bytes) -> tuple[list[int | None], np.ndarray, np
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> ChunkCache:
+def _tokenizer(path: str) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,7 +167,7 @@ def _tokenizer(path: str) -> ChunkCache:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
 
-    return ChunkCache(texts, words)
+    return PieceEncoder(texts, words)
 
 
 _PACKED = "part int,seq long,doc_id long,start long,n_tokens long,ids binary"
