@@ -30,6 +30,8 @@ MAX_BITS = 20
 CHECKPOINT = 256
 #: Ids in a block, about: it ends with the document that reaches them.
 BLOCK = 262_144
+#: Ids encoded in one step, a multiple of CHECKPOINT.
+STRIDE = 16_384
 MAGIC = b"TLH1"
 #: magic, documents, ids, first document's start among all ids of the part, bytes of bits
 HEADER = struct.Struct("<4sIQQQ")
@@ -90,21 +92,25 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits, padded to whole 8 bytes and 8 more, and the offset of every CHECKPOINT-th id."""
-        n = self.lengths[ids].astype(np.int64)
-        ends = np.cumsum(n)
-        begin = ends - n
-        value = self.words[ids].astype(np.uint64)
-        room = 64 - (begin & 63) - n  # below 0: the code word goes on in the next word
-        fits = room >= 0
-        head = np.where(fits, value << np.maximum(room, 0).astype(np.uint64), value >> np.maximum(-room, 0).astype(np.uint64))
-        out = np.zeros(int(ends[-1] if len(ids) else 0) // 64 + 2, np.uint64)
-        at = begin >> 6
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(ids) else []
-        if len(ids):
-            out[at[starts]] = np.bitwise_or.reduceat(head, starts)
-            over = np.flatnonzero(~fits)
+        out = np.zeros(int(self.lengths[ids].sum(dtype=np.int64)) // 64 + 2, np.uint64)
+        marks, total = [], 0
+        for i in range(0, len(ids), STRIDE):  # so that all arrays of a step stay in the processor's cache
+            part = ids[i : i + STRIDE]
+            n = self.lengths[part].astype(np.int64)
+            ends = np.cumsum(n) + total
+            begin = ends - n
+            value = self.words[part].astype(np.uint64)
+            room = 64 - (begin & 63) - n  # below 0: the code word goes on in the next word
+            over = np.flatnonzero(room < 0)
+            head = value << np.maximum(room, 0).astype(np.uint64)
+            head[over] = value[over] >> (-room[over]).astype(np.uint64)
+            at = begin >> 6
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            out[at[starts]] |= np.bitwise_or.reduceat(head, starts)
             out[at[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)  # one at most goes on into a word
-        return out.astype(">u8").tobytes(), begin[::CHECKPOINT]
+            marks.append(begin[::CHECKPOINT])
+            total = int(ends[-1])
+        return out.astype(">u8").tobytes(), np.concatenate(marks) if marks else np.zeros(0, np.int64)
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         if not n:
