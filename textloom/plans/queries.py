@@ -35,8 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly where fewer files hold it than there are cores: a file of one row group is one task, and what
+    follows works on each text for long. Tables of many files are left as they lie, so nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 # --- tokens, levels, savings -------------------------------------------------------------------------------------
@@ -209,7 +216,7 @@ def _sql_html(expr: str) -> str:
 
 @query
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", reduce.strip_html(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", reduce.strip_html(F.col("html")).alias("text"))
 
 
 _SQL["html_strip"] = f"SELECT page_id, {_sql_html('html')} AS text FROM pages"
@@ -217,7 +224,7 @@ _SQL["html_strip"] = f"SELECT page_id, {_sql_html('html')} AS text FROM pages"
 
 @query
 def html_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = pages.fetchable(table(spark, sf_dir, "pages"))
+    own = pages.fetchable(spread(table(spark, sf_dir, "pages")))
     n, m = length16(F.col("html")), length16(reduce.strip_html(F.col("html")))
     return own.groupBy(F.lower(F.parse_url("url", F.lit("HOST"))).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum(n).cast("long").alias("chars_before"), F.sum(m).cast("long").alias("chars_after"))
 
@@ -228,7 +235,7 @@ FROM pages WHERE regexp_matches(lower(url), '^https?://') AND strlen(html) <= 20
 
 @query
 def reduce_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.reduce_pages(table(spark, sf_dir, "pages"))
+    return pages.reduce_pages(spread(table(spark, sf_dir, "pages")))
 
 
 # --- duplicates --------------------------------------------------------------------------------------------------
@@ -558,7 +565,7 @@ _SQL["json_shred"] = "SELECT event_id, replace(props, ': ', ':') AS shredded FRO
 @query
 def proxy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as results of one upstream."""
-    return messages.reduce_results(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return messages.reduce_results(spread(table(spark, sf_dir, "conversations")), "conv_id", "turn")
 
 
 @query
