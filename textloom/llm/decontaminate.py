@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -99,11 +100,11 @@ def scan(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, id_col: str
     first = next(blocks)
     more = next(blocks, None)
     if more is None:
-        return map_rows(base, _scanner([first], window), schema)
+        return map_rows(base, _scanner(first, window), schema)
     # Several automata: each is shipped as a table's rows would be, in its own pass; texts carry the runs found so far.
     space = Workspace(spark, "decontaminate")
     found, n = base.withColumns({"items": F.array().cast("array<long>"), "a": F.array().cast("array<long>"), "b": F.array().cast("array<long>")}), 0
-    for block in _chain(first, more, blocks):
+    for block in chain((first, more), blocks):
         found = space.save(map_rows(found, _adder(block, window), "doc_id long,text string,items array<long>,a array<long>,b array<long>"), f"block{n}")
         if n:
             space.drop(f"block{n - 1}")
@@ -127,12 +128,6 @@ def append_hits(docs: DataFrame, bench: DataFrame, name: str, *, window: int = W
     return docs.withColumn(name, total).drop(*[f"{name}_{i}" for i in range(n + 1)])
 
 
-def _chain(first, more, blocks):
-    yield first
-    yield more
-    yield from blocks
-
-
 def _row(text: str, n: int, runs: list[tuple[int, int]], items: set) -> tuple:
     at = spans(text, runs)
     named = ",".join(sorted(map(str, items)))
@@ -142,14 +137,14 @@ def _row(text: str, n: int, runs: list[tuple[int, int]], items: set) -> tuple:
 _OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "starts", "ends")
 
 
-def _scanner(blocks: list[list[tuple[int, str]]], window: int):
+def _scanner(block: list[tuple[int, str]], window: int):
     def run(batches):
-        finders = [_windows(b, window) for b in blocks]
+        finder = _windows(block, window)
         for x in batches:
             rows = []
             for text in x["text"]:
                 own = words(text)
-                runs, items = finders[0].scan(own)
+                runs, items = finder.scan(own)
                 rows.append(_row(text, len(own), runs, items))
             yield {"doc_id": x["doc_id"], "text": x["text"]} | dict(zip(_OUT, zip(*rows, strict=True) if rows else [[]] * len(_OUT), strict=True))
 
