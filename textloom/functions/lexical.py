@@ -23,7 +23,7 @@ def drop_hedges(c: Column) -> Column:
 
 
 def drop_openers(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?i){LINE}(?:{'|'.join(dicts.OPENERS)}){SPACE}+", "")
+    return F.regexp_replace(c, f"(?i)(?=[ilwy]){LINE}(?:{'|'.join(dicts.OPENERS)}){SPACE}+", "")
 
 
 def drop_articles(c: Column) -> Column:

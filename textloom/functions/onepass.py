@@ -15,7 +15,7 @@ from textloom.functions import dicts, redact
 from textloom.functions.json_shred import length16, shred
 from textloom.functions.languages import CHINESE
 from textloom.functions.reduce import CODE_FILE, CODE_LINE, FRAME, IMPORT, SIGNATURES
-from textloom.functions.text import LINE, SPACE, SPACES, word, words
+from textloom.functions.text import LINE, SPACE, SPACES, any_of, word, words
 
 #: What is kept out of the passes, in order; later kinds may hold earlier ones. Fixed values.
 PROTECTED = (r"```[\s\S]*?```", r"`[^`\n]+`", r"\[[^\]]+\]\([^)]+\)", rf"(?i)(?<![A-Za-z0-9_])https?://[^{SPACES}]+")
@@ -125,7 +125,7 @@ def _dictionary(entries: dict[str, str]) -> list[Callable[[str], str]]:
     one, many = dicts.singles(entries), dicts.phrases(entries)
     steps: list[Callable[[str], str]] = [lambda t, p=_re(word(k)), v=v: p.sub(lambda _: v, t) for k, v in many.items()]
     if one:
-        steps.insert(0, lambda t, p=_re(words(tuple(sorted(one, key=len, reverse=True)))): p.sub(lambda m: one[m[0].lower()], t))
+        steps.insert(0, lambda t, p=_re(word(any_of(list(one)))): p.sub(lambda m: one[m[0].lower()], t))
     return steps
 
 
