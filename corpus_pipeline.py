@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontaminate, exact, quality, simhash
+from textloom.llm import bpe, decontaminate, exact, quality, shingles
 from textloom.llm.common import Workspace, free_name, table
 from textloom.llm.queries import vocabulary
 
@@ -38,8 +38,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints, the document with the smallest id."""
-    return _only(docs, simhash.classes(docs).where("kept"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    """Of each class of documents linked by 5-word shingles of similarity 0.8 or more, the one with the smallest id."""
+    return _only(docs, shingles.classes(docs).where("kept"), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("exact dedup", drop_exact_copies),
-    ("SimHash near-dedup", drop_near_copies),
+    ("shingle near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("BPE encoding and decoding", token_ids),
 ]
