@@ -449,6 +449,20 @@ _SQL["cosine_topk"] = """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddi
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10"""
 
 
+@query
+def cosine_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose vec_id is divisible by 50 against all rows."""
+    memory = table(spark, sf_dir, "embeddings")
+    found = recall.nearest(spread(memory), memory.where("vec_id % 50 = 0"), 10)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
+_SQL["cosine_topk_each"] = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS place FROM s)
+SELECT query_id, vec_id, round(s, 6) AS similarity, place FROM r WHERE place <= 10"""
+
+
 @query
 def context_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds in proportion to the short conversations at hand."""
