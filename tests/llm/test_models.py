@@ -73,12 +73,35 @@ def test_forward_recursion_and_counts_equal_sums_over_all_paths():
                 steps[a, b] += p / total
             for x, a in zip(seq, s):
                 emits[x, a] += p / total
-    for a, b in zip(hmm.expected(m, seqs, [True] * 4), (starts, steps, emits)):
-        assert np.allclose(a, b)
-
-
-def test_a_long_sequence_does_not_underflow():
-    assert math.isfinite(hmm.likelihood(model(), [np.zeros(50_000, int)])[0])
+    log = sum(math.log10(sum(p for _, p in paths(m, s))) for s in seqs)
+    for block in (1, 2, 3, 1024):  # pieces of any length carry both recursions on
+        assert np.allclose(hmm.likelihood(m, seqs, block), hmm.likelihood(m, seqs))
+        *counts, total = hmm.expected(m, seqs, block)
+        assert total == pytest.approx(log)
+        for a, b in zip(counts, (starts, steps, emits)):
+            assert np.allclose(a, b)
+
+
+def test_a_million_tokens_beside_short_texts_stay_small():
+    """Counts are those of the uncut recursion, and memory doesn't grow as the longest times the number of texts."""
+    import tracemalloc
+
+    m, r = model(), np.random.default_rng(1)
+    seqs = [r.integers(0, 4, 1_000_000), *[r.integers(0, 4, 5) for _ in range(511)]]
+    tracemalloc.start()
+    found = hmm.likelihood(m, seqs)
+    starts, steps, emits, log = hmm.expected(m, seqs)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    a, total = m.start * m.emit[seqs[0][0]], 0.0
+    for x in seqs[0][1:]:
+        s = a.sum()
+        total += math.log10(s)
+        a = (a / s) @ m.step * m.emit[x]
+    assert found[0] == pytest.approx(total + math.log10(a.sum()), rel=1e-9)
+    assert log == pytest.approx(found.sum(), rel=1e-9)
+    assert starts.sum() == pytest.approx(512) and steps.sum() == pytest.approx(sum(len(s) - 1 for s in seqs))
+    assert np.allclose(emits.sum(axis=1), np.bincount(np.concatenate(seqs), minlength=4))
 
 
 def test_probabilities_of_all_tokens_sum_to_one(odd):

@@ -26,18 +26,29 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it knows it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = _place(spark, path)
+    files.delete(where, True)
 
 
 class Workspace:
-    """A folder of tables in the shared place; it goes when the driver ends, or with close()."""
+    """A folder of tables in the shared place; it goes with close(), or when the driver ends.
+
+    The file system deletes it when the driver's JVM ends, so a session that was stopped before leaves nothing behind.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = scratch(spark, name)
+        files, where = _place(spark, self.path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

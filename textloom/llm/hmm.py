@@ -1,5 +1,6 @@
 """Hidden Markov language model: Baum-Welch counts from all training texts, exact sequence likelihood by scaled forward
-recursion.
+recursion. Texts are whole in both: a long one is worked on in pieces, and products of the pieces' transition matrices
+carry the recursions across their borders exactly.
 
 States emit symbols: each of the SYMBOLS most frequent tokens is one, and all other tokens share CLASSES symbols by
 their endings. A token within a class has the probability (c + 0.5) / (N_class + 0.5 (V_class + 1)), so that each
@@ -25,13 +26,13 @@ from textloom.llm.common import LOWER_BYTES, Workspace, fold, id_text, map_rows
 
 #: Latent states; tokens that are symbols of their own; classes of all others; tokens that each machine knows.
 STATES, SYMBOLS, CLASSES, HEAD = 8, 32_000, 1024, 200_000
-#: Baum-Welch rounds over all training texts, after FIRST_ROUNDS over a sample that only sets the start.
-ROUNDS, FIRST_ROUNDS, FIRST_TEXTS = 2, 12, 400
-#: In training a text is cut into stretches of this many tokens; each but the first starts from the stationary states.
-STRETCH = 1024
+#: Baum-Welch rounds over all training texts at most, and the gain (log10 a token) below which no further one is made.
+ROUNDS, SETTLED = 6, 0.002
+#: Symbols in a row that are worked on at once; a longer sequence is carried on exactly from piece to piece.
+BLOCK = 1024
 #: Weight of the symbols' overall distribution in each state's.
 PRIOR = 50.0
-#: Sequences side by side.
+#: Pieces side by side.
 ABREAST = 512
 FOLDS, HELD_OUT = 5, 1
 END = b""  # no word is empty
@@ -66,12 +67,6 @@ class Model:
     step: np.ndarray
     emit: np.ndarray  # symbols x states
 
-    def stationary(self) -> np.ndarray:
-        p = self.start
-        for _ in range(200):
-            p = p @ self.step
-        return p / p.sum()
-
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """token, class, c (in training texts), seen (in all texts): one row for each token; summed in each task first."""
@@ -165,25 +160,87 @@ def symbols_of(docs: DataFrame, known: Vocabulary) -> DataFrame:
     return map_rows(rows, run, "row long,doc_id long,held_out boolean,symbols binary,n_tokens long,head_known long,head_log double,class_log double,rest array<binary>,times array<long>")
 
 
-def _side_by_side(sequences: list[np.ndarray], begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of about equally long sequences: which, symbols (time x sequence), how many go on at each time, begin."""
-    sizes = np.array([len(s) for s in sequences])
+@dataclass
+class Lanes:
+    """Whole sequences as pieces of BLOCK symbols at most that are worked on side by side.
+
+    A piece knows what its sequence says about it: `before` are the states' probabilities after all earlier symbols
+    (the start's, unstepped, for a first piece), `after` is in proportion to the probability of all later symbols.
+    """
+
+    pieces: list[np.ndarray]
+    of: np.ndarray  # the sequence of each piece
+    first: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+
+def _abreast(pieces: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of about equally long pieces: which, symbols (time x piece), how many go on at each time."""
+    sizes = np.array([len(s) for s in pieces])
     order = np.argsort(-sizes, kind="stable")
     for at in range(0, len(order), ABREAST):
         own = order[at : at + ABREAST]
         n = sizes[own]
         table = np.zeros((n[0], len(own)), np.int64)
         for i, j in enumerate(own):
-            table[: n[i], i] = sequences[j]
-        yield own, table, np.searchsorted(-n, -np.arange(n[0]), "left"), begin[own]
+            table[: n[i], i] = pieces[j]
+        yield own, table, np.searchsorted(-n, -np.arange(n[0]), "left")
+
 
+def _products(model: Model, pieces: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """For each piece the matrix, up to a factor, that leads from the states before it to those at its end."""
+    k = len(model.start)
+    out = np.zeros((len(pieces), k, k))
+    for own, table, going in _abreast(pieces):
+        p = np.where(first[own][:, None, None], np.eye(k), model.step)
+        for t in range(len(table)):
+            n = going[t]
+            if t:
+                p[:n] = (p[:n].reshape(-1, k) @ model.step).reshape(-1, k, k)
+            p[:n] *= model.emit[table[t, :n]][:, None, :]
+            if t % 16 == 15:
+                p[:n] /= p[:n].sum(axis=(1, 2), keepdims=True)
+        out[own] = p / p.sum(axis=(1, 2), keepdims=True)
+    return out
 
-def likelihood(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+
+def lanes(model: Model, sequences: list[np.ndarray], block: int = BLOCK, *, later: bool = True) -> Lanes:
+    """Nothing is lost at the borders of pieces: products of the pieces' matrices carry both recursions across them."""
+    pieces = [s[at : at + block] for s in sequences for at in range(0, len(s), block)]
+    many = np.array([-(-len(s) // block) for s in sequences], np.int64)
+    of = np.repeat(np.arange(len(sequences)), many)
+    begins = np.cumsum(many) - many
+    first = np.zeros(len(pieces), bool)
+    first[begins] = True
+    before, after = np.tile(model.start, (len(pieces), 1)), np.ones((len(pieces), len(model.start)))
+    long = np.flatnonzero(many[of] > 1)
+    if len(long):
+        matrix = dict(zip(long.tolist(), _products(model, [pieces[i] for i in long], first[long]), strict=True))
+        for i in np.flatnonzero(many > 1):
+            a, b = int(begins[i]), int(begins[i] + many[i])
+            f = model.start
+            for at in range(a, b - 1):
+                f = f @ matrix[at]
+                before[at + 1] = f = f / f.sum()
+            g = after[b - 1]
+            for at in range(b - 1, a, -1) if later else ():
+                g = matrix[at] @ g
+                after[at - 1] = g = g / g.sum()
+    return Lanes(pieces, of, first, before, after)
+
+
+def _entered(model: Model, x: Lanes, own: np.ndarray) -> np.ndarray:
+    """The states' probabilities at a piece's first symbol, before it is seen."""
+    return np.where(x.first[own][:, None], x.before[own], x.before[own] @ model.step)
+
+
+def likelihood(model: Model, sequences: list[np.ndarray], block: int = BLOCK) -> np.ndarray:
     """log10 probability of each sequence of symbols, by the scaled forward recursion."""
-    out, one = np.zeros(len(sequences)), np.ones(len(model.start))
-    for own, table, going, _ in _side_by_side(sequences, np.zeros((len(sequences), 1))):
+    out, one, x = np.zeros(len(sequences)), np.ones(len(model.start)), lanes(model, sequences, block, later=False)
+    for own, table, going in _abreast(x.pieces):
         log = np.zeros(len(own))
-        a = model.start * model.emit[table[0]]
+        a = _entered(model, x, own) * model.emit[table[0]]
         for t in range(len(table)):
             n = going[t]
             if t:
@@ -191,19 +248,21 @@ def likelihood(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
             scale = a @ one
             log[:n] += np.log10(scale)
             a /= scale[:, None]
-        out[own] = log
+        np.add.at(out, x.of[own], log)
     return out
 
 
-def expected(model: Model, sequences: list[np.ndarray], first: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts: states at the start of texts, steps between states, symbols by state."""
+def expected(model: Model, sequences: list[np.ndarray], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of whole sequences: states at their starts, steps between states, symbols by state; and the
+    log10 likelihood. Only a group of pieces is held at a time, however long a sequence is."""
     k, size = len(model.start), len(model.emit)
-    starts, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
-    begin, one = np.where(np.array(first)[:, None], model.start, model.stationary()), np.ones(k)
-    for own, table, going, start in _side_by_side(sequences, begin):
+    starts, steps, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
+    one, back, x = np.ones(k), model.step.T.copy(), lanes(model, sequences, block)
+    for own, table, going in _abreast(x.pieces):
         span, width = table.shape
-        alpha, after, scales = np.zeros((span, width, k)), np.zeros((span, width, k)), np.ones((span, width, 1))
-        a = start * model.emit[table[0]]
+        alpha, scales = np.zeros((span, width, k)), np.ones((span, width, 1))
+        beta = x.after[own]
+        a = _entered(model, x, own) * model.emit[table[0]]
         for t in range(span):
             n = going[t]
             if t:
@@ -211,21 +270,24 @@ def expected(model: Model, sequences: list[np.ndarray], first: list[bool]) -> tu
             scales[t, :n, 0] = scale = a @ one
             a = a / scale[:, None]
             alpha[t, :n] = a
-        beta, back = np.ones((width, k)), model.step.T.copy()
+        total += float(np.log10(scales).sum())
+        ends = alpha[np.array([len(x.pieces[i]) for i in own]) - 1, np.arange(width)]
+        beta /= (ends * beta).sum(axis=1, keepdims=True)
         for t in range(span - 1, -1, -1):
             n = going[t]
             if t + 1 < span:
                 m = going[t + 1]
-                after[t + 1, :m] = e = model.emit[table[t + 1, :m]] * beta[:m] / scales[t + 1, :m]
+                e = model.emit[table[t + 1, :m]] * beta[:m] / scales[t + 1, :m]
                 beta[:m] = e @ back
-            if t + 1 < span:
                 steps += alpha[t, :m].T @ e
             alpha[t, :n] *= beta[:n]  # from here on the states' probabilities
-        starts += alpha[0][np.array(first)[own]].sum(axis=0)
+        later = ~x.first[own]
+        steps += x.before[own][later].T @ (model.emit[table[0]] * beta / scales[0])[later]
+        starts += alpha[0][~later].sum(axis=0)
         flat = table.ravel()
         for j in range(k):
             emits[:, j] += np.bincount(flat, alpha[:, :, j].ravel(), size)
-    return starts, steps * model.step, emits
+    return starts, steps * model.step, emits, total
 
 
 def estimate(starts: np.ndarray, steps: np.ndarray, emits: np.ndarray, share: np.ndarray) -> Model:
@@ -235,61 +297,47 @@ def estimate(starts: np.ndarray, steps: np.ndarray, emits: np.ndarray, share: np
     return Model((starts + 0.5) / (starts.sum() + 0.5 * k), step, emit)
 
 
-def _stretches(packed: list[bytes], kind: str) -> tuple[list[np.ndarray], list[bool]]:
-    out, first = [], []
-    for x in packed:
-        own = np.frombuffer(x, kind)
-        for at in range(0, len(own), STRETCH):
-            out.append(own[at : at + STRETCH])
-            first.append(not at)
-    return out, first
-
-
-def _started(share: np.ndarray, sample: list[bytes], kind: str, states: int) -> Model:
-    """A start from few texts: each text belongs to one state at first, and rounds follow with sticky states."""
-    rng = np.random.default_rng(7)
-    size = len(share)
-    emit = share[:, None] * rng.uniform(0.5, 1.5, (size, states))
-    model = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
-    sequences, first = _stretches(sample, kind)
-    for _ in range(FIRST_ROUNDS if sequences else 0):
-        model = estimate(*expected(model, sequences, first), share)
-    return model
+def started(share: np.ndarray, states: int) -> Model:
+    """Sticky states that emit what all texts hold, each with weights of its own so that rounds can tell them apart."""
+    emit = share[:, None] * np.random.default_rng(7).gamma(1.0, 1.0, (len(share), states))
+    return Model(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
 
 
 def train(rows: DataFrame, known: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Rounds of Baum-Welch over all training rows; each task sends its counts by symbol, and sums come to the driver.
+    """Rounds of Baum-Welch over all training texts, each whole, until the likelihood settles or `rounds` are done.
 
-    A sum has a row for each symbol (SYMBOLS + CLASSES at most), each state's starts and each state's steps.
+    Each task sends its counts by symbol, and sums come to the driver: a row for each symbol (SYMBOLS + CLASSES at
+    most), one for the starts, one for each state's steps and one for the likelihood.
     """
     kind = "<u2" if len(known.share) < 65_536 else "<u4"
-    own = rows.where("not held_out").select("row", "symbols")
-    sample = own.orderBy(F.xxhash64("row")).limit(FIRST_TEXTS)
-    sample = sample.select(F.substring("symbols", 1, 16_384).alias("symbols"), "row").orderBy("row")
-    model = _started(known.share, [bytes(r["symbols"]) for r in sample.collect()], kind, states)
+    own = rows.where("not held_out").select("symbols")
+    model, before = started(known.share, states), None
     columns = [f"s{i}" for i in range(states)]
     size = len(known.share)
     for _ in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[dict[str, list]], shared=shared) -> Iterator[dict[str, list]]:
-            total = np.zeros((1 + states + size, states))
+            total = np.zeros((2 + states + size, states))
             for x in batches:
-                sequences, first = _stretches(x["symbols"], kind)
-                if sequences:
-                    starts, steps, emits = expected(shared.value, sequences, first)
+                if x["symbols"]:
+                    starts, steps, emits, log = expected(shared.value, [np.frombuffer(s, kind) for s in x["symbols"]])
                     total[0] += starts
                     total[1 : 1 + states] += steps
-                    total[1 + states :] += emits
+                    total[1 + states : -1] += emits
+                    total[-1, 0] += log
             used = np.flatnonzero(total.any(axis=1))
             yield {"place": used} | {c: total[used, i] for i, c in enumerate(columns)}
 
-        got = map_rows(own.select("symbols"), run, "place long," + ",".join(f"{c} double" for c in columns))
+        got = map_rows(own, run, "place long," + ",".join(f"{c} double" for c in columns))
         sums: pd.DataFrame = got.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-        total = np.zeros((1 + states + size, states))
+        total = np.zeros((2 + states + size, states))
         total[sums["place"].to_numpy(np.int64)] = sums[columns].to_numpy()
-        model = estimate(total[0], total[1 : 1 + states], total[1 + states :], known.share)
+        model = estimate(total[0], total[1 : 1 + states], total[1 + states : -1], known.share)
         shared.unpersist()
+        if before is not None and total[-1, 0] - before < SETTLED * known.tokens:
+            break
+        before = total[-1, 0]
     return model
 
 
