@@ -124,25 +124,32 @@ def brute_windows(docs, items, window=10):
                 if (of := keys.get(tuple(own[k : k + n]))) and k + n <= len(own):
                     hit.update(range(k, k + n))
                     found |= of
-        out.append((d, len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), bool(hit)))
     return out
 
 
 @pytest.mark.parametrize("block", [2_000_000, 30])
-def test_decontaminate(spark, odd, odd_rows, block):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_decontaminate(spark, odd, odd_rows, block, kind):
+    """Against brute force, with null, repeated and string item ids, items that share windows, and several blocks."""
     long = [t for _, t in odd_rows if t and 15 < len(t.split()) < 200]
-    items = [(1, long[0]), (10, long[1][:80]), (2, "a"), (3, ""), (4, None), (5, "!?"), (6, long[0]), (7, "x y z"), (None, "rights RESERVED")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items = [(1, long[0]), (10, long[1][:80]), (2, "a"), (2, "x y"), (3, ""), (4, None), (5, "!?"), (6, long[0]), (7, "x y z"), (None, "rights RESERVED"), (None, long[0])]
+    items = [(i if i is None or kind == "long" else f"q{i}", t) for i, t in items]
+    bench = spark.createDataFrame(items, f"item_id {kind}, text string")
     rows = decontaminate.scan(odd, bench, block_words=block).collect()
-    if block > 30:
-        want = brute_windows(odd_rows, items)
-        assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows), key=key) == sorted(((*w[:4], w[5]) for w in want), key=key)
-        assert {(r.doc_id, r.items_sha256) for r in rows if r.contaminated} <= {(w[0], w[4]) for w in want}
-    else:
-        one = decontaminate.scan(odd, bench).collect()
-        assert sorted(map(repr, rows)) == sorted(map(repr, one))
+    want = brute_windows(odd_rows, items)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows), key=key) == sorted(want, key=key)
     for r in rows:
         assert r.n_hit == sum(len(words(r.text[a:b])) for a, b in zip(r.starts, r.ends))
+        assert r.items_sha256 == hashlib.sha256(",".join(r.items).encode()).hexdigest()
+    few = decontaminate.scan(odd, bench, block_words=block, places=False)
+    assert sorted(map(tuple, few.collect()), key=key) == sorted(want, key=key)
+
+
+def test_spans_are_linear_in_long_texts():
+    text = "é one two " * 300_000
+    at = decontaminate.spans(text, [(3 * i + 1, 3 * i + 2) for i in range(300_000)])
+    assert at[0] == (2, 5) and at[-1] == (len(text) - 8, len(text) - 5) and len(at) == 300_000
 
 
 def test_decontaminate_empty(spark, empty, odd):
