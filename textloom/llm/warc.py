@@ -14,12 +14,13 @@ import hashlib
 import html
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.llm.common import map_rows
 
@@ -29,12 +30,13 @@ NO_DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "derivatives.invalid")
 #: Headers that a derived record takes over as they are.
 KEPT = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID")
-#: Links listed in a metadata record: all of them.
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template|svg)\b.*?</\1\s*>", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?]?[a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Elements whose content is no text, and elements that begin and end a line.
+HIDDEN = ("script", "style", "head", "noscript", "template", "svg")
+BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+#: A tag with its name, or the beginning of a comment. It is looked for up to the page's last `>`, so every tag ends.
+_TAG = re.compile(r"<(?:!--|([/!?]?[a-zA-Z][^\s/>]*)[^>]*>)")
+_CLOSING = {x: re.compile(rf"</{x}\s*>", re.I) for x in (*HIDDEN, "title")}
+_HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -43,30 +45,85 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def plain_text(source: str) -> str:
-    """The text of an HTML page: a line for each block, one space between words, entities decoded; no scripts, styles,
-    head or comments."""
-    text = _BLOCK.sub("\n", _DROPPED.sub(" ", source))
-    text = html.unescape(_TAG.sub("", text))
-    return _LINES.sub("\n", _SPACE.sub(" ", text)).strip()
-
-
-def title(source: str) -> str | None:
-    found = _TITLE.search(source)
-    return " ".join(html.unescape(found[1]).split()) if found else None
-
-
-def links(source: str, base: str | None) -> list[str]:
-    """Targets of anchors against the page's address, each once, in order."""
-    out = {}
-    for m in _LINK.finditer(source):
-        to = html.unescape(next(x for x in m.groups() if x is not None)).strip()
-        if to and not to.startswith("#"):
-            try:
-                out[" ".join(urljoin(base or "", to).split())] = None
-            except ValueError:  # an address that isn't one
+class _Ahead:
+    """Where something stands next at or after a place; places asked for never go back, so all is looked at once."""
+
+    def __init__(self, find: Callable[[int], tuple[int, int] | None]):
+        self.find, self.at = find, (-1, -1)
+
+    def __call__(self, place: int) -> tuple[int, int] | None:
+        if self.at is not None and self.at[0] < place:
+            self.at = self.find(place)
+        return self.at
+
+
+class Page:
+    """The text, title and link targets of an HTML page, read in one forward pass that takes time in proportion to the
+    page's length, whatever is left open in it.
+
+    A tag ends at the next `>`; without one, what looks like a tag is text. Comments and hidden elements go with what is
+    in them, if they are closed. The first title counts, and so do links and titles in hidden elements.
+    """
+
+    def __init__(self, source: str):
+        self.parts, self.targets, self.heading = [], [], None
+        plain = lambda x: lambda i: (j, j + len(x)) if (j := source.find(x, i)) >= 0 else None
+        by = lambda p: lambda i: m.span() if (m := p.search(source, i)) else None
+        comment = _Ahead(plain("-->"))
+        closing = {x: _Ahead(by(p)) for x, p in _CLOSING.items()}
+        at, begin, last, add = 0, 0, source.rfind(">") + 1, self.parts.append  # text counts from `begin` on
+        while m := _TAG.search(source, at, last):
+            here, at = m.span()
+            seen = here >= begin
+            if here > begin:
+                add(source[begin:here])
+            if m[1] is None:
+                close = comment(at)
+                if close:
+                    at = close[1]
+                if seen:
+                    begin = at if close else here
                 continue
-    return list(out)
+            kind = m[1].lower()
+            if kind == "a" and (to := _HREF.search(source, here + 2, at)):
+                self.targets.append(next(x for x in to.groups() if x is not None))
+            elif kind == "title" and self.heading is None and (close := closing[kind](at)):
+                self.heading = source[at : close[0]]
+            if not seen:
+                continue
+            begin = at
+            if kind in HIDDEN and (close := closing[kind](at)):
+                begin = close[1]
+                add(" ")
+                if kind not in ("head", "noscript", "template"):  # nothing is read in these
+                    at = begin
+            elif kind.removeprefix("/") in BLOCKS:
+                add("\n")
+        if begin < len(source):
+            add(source[begin:])
+
+    def text(self) -> str:
+        """A line for each block, one space between words, entities decoded."""
+        return _LINES.sub("\n", _SPACE.sub(" ", html.unescape("".join(self.parts)))).strip()
+
+    def title(self) -> str | None:
+        return " ".join(html.unescape(self.heading).split()) if self.heading is not None else None
+
+    def links(self, base: str | None) -> list[str]:
+        """Targets of anchors against the page's address, each once, in order."""
+        out = {}
+        for x in self.targets:
+            to = html.unescape(x).strip()
+            if to and not to.startswith("#"):
+                try:
+                    out[" ".join(urljoin(base or "", to).split())] = None
+                except ValueError:  # an address that isn't one
+                    continue
+        return list(out)
+
+
+def plain_text(source: str) -> str:
+    return Page(source).text()
 
 
 @dataclass
@@ -140,9 +197,10 @@ def derive(source: Record) -> tuple[Record, Record]:
     url = source.headers.get("WARC-Target-URI")
     meta = [("source-block-digest", source.headers.get("WARC-Block-Digest", digest(source.block))), ("source-payload-digest", source.headers.get("WARC-Payload-Digest", digest(payload)))]
     meta += [("http-status", status)] * bool(status) + [("http-header", f"{k}: {v}") for k, v in fields]
-    meta += [("title", x) for x in [title(text)] if x] + [("outlink", x) for x in links(text, url)]
+    page = Page(text)
+    meta += [("title", x) for x in [page.title()] if x] + [("outlink", x) for x in page.links(url)]
     out = []
-    for kind, mime, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in meta).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(text).encode())):
+    for kind, mime, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in meta).encode()), ("conversion", "text/plain; charset=utf-8", page.text().encode())):
         headers = {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(NAMESPACE, kind + of)}>", "WARC-Refers-To": of}
         headers |= {k: source.headers[k] for k in KEPT if k in source.headers}
         if url is not None:
@@ -157,25 +215,75 @@ def derive(source: Record) -> tuple[Record, Record]:
 _COLUMNS = "page_id long,kind string,record_id string,refers_to string,target_uri string,source_payload_digest string,block_digest string,n_bytes long,record binary"
 
 
-def derivatives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sources: bool = False) -> DataFrame:
+def _rows_of(key: int | None, source: Record, sources: bool) -> Iterator[tuple]:
+    for r in (*([source] if sources else []), *derive(source)):
+        h = r.headers
+        payload = source.headers.get("WARC-Payload-Digest") or digest(http(source.block)[2])
+        yield (key, r.kind, h["WARC-Record-ID"], h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), payload, h.get("WARC-Block-Digest") or digest(r.block), len(r.block), r.bytes())
+
+
+def _table(rows: list[tuple]) -> dict[str, list]:
+    names = [c.split()[0] for c in _COLUMNS.split(",")]
+    return dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))
+
+
+def derivatives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, sources: bool = False) -> DataFrame:
     """page_id, kind, record_id, refers_to, target_uri, source_payload_digest, block_digest, n_bytes (of the block),
     record (its bytes): a metadata and a conversion row for each page, and with `sources` the response too.
 
-    A null page is an empty payload, and a null address leaves the URI headers out. Rows that repeat give records with
-    equal identifiers, each; an empty table gives none. Pages of any length are read whole. Only the three named
+    date_col is a timestamp or text of the form 2024-01-31T12:00:00Z; a page without one is dated NO_DATE. A null page
+    is an empty payload, and a null address leaves the URI headers out. Rows that repeat give records with equal
+    identifiers, each; an empty table gives none. Pages of any length are read whole, in one pass. Only the named
     columns are read.
     """
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        names = [c.split()[0] for c in _COLUMNS.split(",")]
         for x in batches:
-            rows = []
-            for key, url, page in zip(x["page_id"], x["url"], x["html"], strict=True):
-                source = response(str(key), url, page)
-                for r in (*([source] if sources else []), *derive(source)):
-                    h = r.headers
-                    rows.append((key, r.kind, h["WARC-Record-ID"], h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), source.headers["WARC-Payload-Digest"], h["WARC-Block-Digest"], len(r.block), r.bytes()))
-            yield dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))
-
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+            yield _table([r for key, url, page, date in zip(x["page_id"], x["url"], x["html"], x["date"], strict=True) for r in _rows_of(key, response(str(key), url, page, date), sources)])
+
+    date = F.lit(None) if date_col is None else F.col(date_col)
+    if date_col is not None and not isinstance(pages.schema[date_col].dataType, StringType):
+        date = F.date_format(F.to_utc_timestamp(date, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), date.cast("string").alias("date"))
     return map_rows(own, run, _COLUMNS)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """path, at (the record's number in its file), kind, record_id, target_uri, record: the records of WARC files, each
+    file plain or of gzip members. Any path that Spark reads will do. A file is read by one task and has to fit in
+    its memory twice; Spark's limit for a file is 2 GB. A file that holds something else fails the query."""
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for x in batches:
+            for name, content in zip(x["path"], x["content"], strict=True):
+                part: list[tuple] = []
+                for n, r in enumerate(parse(content)):
+                    part.append((name, n, r.kind, r.headers.get("WARC-Record-ID"), r.headers.get("WARC-Target-URI"), r.bytes()))
+                    if len(part) == 256:
+                        yield dict(zip(_READ, zip(*part, strict=True), strict=True))
+                        part = []
+                yield dict(zip(_READ, zip(*part, strict=True) if part else [[]] * len(_READ), strict=True))
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return map_rows(files, run, "path string,at long,kind string,record_id string,target_uri string,record binary")
+
+
+_READ = ("path", "at", "kind", "record_id", "target_uri", "record")
+
+
+def derive_records(records: DataFrame, *, record_col: str = "record") -> DataFrame:
+    """The columns of derivatives() for WARC records as read() gives them: a metadata and a conversion row for each
+    response, page_id null. Records of other kinds and nulls give nothing; a response without an identifier gets one
+    from its bytes. Rows that repeat give equal records each; an empty table gives none."""
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for x in batches:
+            rows = []
+            for data in x["record"]:
+                for r in parse(data or b""):
+                    if r.kind == "response":
+                        r.headers.setdefault("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, hashlib.sha256(data).hexdigest())}>")
+                        rows += _rows_of(None, r, False)
+            yield _table(rows)
+
+    return map_rows(records.select(F.col(record_col).alias("record")), run, _COLUMNS)
