@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import hmm, langid, quality
 
@@ -128,8 +129,6 @@ def test_quality_on_held_out_labels(docs, labels):
 
 
 def test_quality_sees_no_held_out_label(spark, docs, labels):
-    from pyspark.sql import functions as F
-
     from textloom.llm.common import fold_col
 
     turned = labels.withColumn("quality", F.when(fold_col(F.col("doc_id"), 5) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -162,8 +161,48 @@ def test_language_is_undetermined_without_letters(spark, docs):
     assert [got[10**7 + i] for i in (1, 2, 3)] == ["und"] * 3 and {got[10**7 + 4], got[10**7 + 5]} <= {"en", "fr", "de", "es"}
 
 
-def test_kernel_is_the_share_of_common_grams():
-    a, b = langid.presence(["abc", "abd"])
-    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    x, y = grams(" abc "), grams(" abd ")
-    assert float(a @ b) == pytest.approx(len(x & y) / math.sqrt(len(x) * len(y)), abs=1e-6)
+def gram_set(text):
+    own = b" " + bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()) + b" "
+    return {own[i : i + n] for n in (1, 2, 3) for i in range(len(own) - n + 1)}
+
+
+def plain_kernel(a, b):
+    x, y = gram_set(a), gram_set(b)
+    return len(x & y) / math.sqrt(len(x) * len(y))
+
+
+def test_kernel_and_outputs_are_those_of_sets(docs):
+    """Kernels, the Nyström map and the ridge regression against plain sets and the whole kernel matrix."""
+    rows = [(r.text, r.lang) for r in docs.where("doc_id < 60 and lang is not null and length(text) < 4000").orderBy("doc_id").collect()]
+    rows += [("a", "en"), ("zz " * 30, "de"), rows[0]]
+    net = langid.fit(rows)
+    chosen = [t for lang in net.languages for t in [t for t, x in rows if x == lang][: langid.LANDMARKS]]
+    other = ["été à la plage", "the cat", "x", *[t for t, _ in rows[:10]]]
+    want = np.array([[plain_kernel(a, b) for b in chosen] for a in other])
+    assert np.allclose(net.landmarks.kernel(other), want, atol=1e-6)
+    # all texts are landmarks here, so this is kernel ridge regression on all of them: f(x) = k(x) a with the same weights
+    k = np.array([[plain_kernel(a, b) for b in chosen] for a, _ in rows])
+    y = np.array([[1.0 if x == lang else -1.0 for lang in net.languages] for _, x in rows])
+    w = np.array([len(rows) / sum(v == x for _, v in rows) for _, x in rows])
+    kc = np.array([[plain_kernel(a, b) for b in chosen] for a in chosen])
+    loss = lambda a: float((w[:, None] * (k @ a - y) ** 2).sum() + langid.RIDGE * np.trace(a.T @ kc @ a))
+    best = loss(net.weights.astype(float))
+    rng = np.random.default_rng(0)
+    for scale in (1e-3, 1e-2, 0.1):
+        assert all(loss(net.weights + rng.normal(0, scale, net.weights.shape)) > best * (1 - 1e-4) for _ in range(5))
+
+
+def test_language_of_repeats_ties_and_long_texts(spark, docs):
+    """A model is learned from rows of which a third is one text under null ids; bounds hold; equal texts are scored alike."""
+    few = docs.select("doc_id", "text", "lang").where("doc_id < 300")
+    one = few.where("doc_id = 1").first()
+    copies = spark.range(150).select(F.lit(None).cast("long").alias("doc_id"), F.lit(one.text).alias("text"), F.lit(one.lang).alias("lang"))
+    long = spark.createDataFrame([(9_000_001, "the quick brown fox and the lazy dog " * 140_000, None), (9_000_002, "a" * 5_000_000, None)], few.schema)
+    both = few.unionByName(copies).unionByName(long)
+    got = langid.predict(both, train=40).collect()
+    assert len(got) == both.count() and all(0 <= r.score <= 1 for r in got)
+    copied = {(r.lang_pred, r.score) for r in got if r.doc_id is None}
+    assert len(copied) == 1 and len({r.held_out for r in got if r.doc_id is None}) == 1
+    of = {r.doc_id: r.lang for r in few.collect()}
+    own = [r.lang_pred == of[r.doc_id] for r in got if r.doc_id in of and r.held_out]
+    assert sum(own) / len(own) > 0.9
