@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -128,6 +129,57 @@ def test_quality_on_held_out_labels(docs, labels):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (quality.FOLDS and hmm.fold(r.doc_id, 5) == 0) for r in got)
 
 
+def plain_word(token):
+    return token.lower().strip(".,;:!?()\"'")
+
+
+def test_word_vectors_are_sums_of_neighbours(spark):
+    """Vocabulary, sums and pooled features against plain loops over all tokens."""
+    texts = ["", "One two, two ONE three!", "a", "==== 12:30 Ab\n\nAb ab (ab)", "x" * 10_000 + " one", "two one " * 50, "é É ²"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = {r.word: r.n for r in quality.word_counts(docs).collect()}
+    want = Counter(plain_word(t) for x in texts for t in x.split())
+    assert sorted(counts.values()) == sorted(want.values()) and all(counts[quality.word(t)] == n for t, n in want.items())
+    number = quality.vocabulary(quality.word_counts(docs), most=4)
+    assert set(number) <= {quality.word(t) for t, n in want.most_common(4)} and len(number) >= 2
+    got = quality.word_vectors(docs, number)
+    unit = lambda t: number.get(quality.word(t), quality.VOCABULARY + quality.word(t) % quality.BUCKETS)
+    form = lambda t: zlib.crc32(quality.shape(t).encode()) % quality.SHAPES
+    of_words, of_forms = quality.index_vectors(11, quality.WORDS).astype(float), quality.index_vectors(12, quality.FORMS).astype(float)
+    sums = np.zeros((quality.WORDS, quality.WIDTH))
+    for x in texts:
+        own = x.split()
+        for i, t in enumerate(own):
+            sums[unit(t)] += of_forms[form(t)]
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(own):
+                    sums[unit(t)] += of_words[unit(own[j])]
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    plain = sums / np.where(norm > 0, norm, 1)
+    plain = np.where(norm > 0, plain - plain.sum(axis=0) / (norm > 0).sum(), 0) + of_words / np.sqrt(quality.FILLED)
+    assert np.allclose(got.words, plain, atol=1e-5)
+    pooled = quality.features(texts, got)
+    for x, row in zip(texts, pooled):
+        mean = np.mean([plain[unit(t)] for t in x.split()], axis=0) if x.split() else np.zeros(quality.WIDTH)
+        assert np.allclose(row[: quality.WIDTH], mean, atol=1e-5)
+
+
+def test_shapes_are_of_whole_tokens():
+    assert quality.shape("x" * 100 + "1") != quality.shape("x" * 100 + "-")
+    assert quality.shape("a-b-c-d-e-f-g-h-1") != quality.shape("a-b-c-d-e-f-g-h-x")
+
+
+def test_quality_learns_from_a_bounded_number_of_rows(spark, docs, labels):
+    """An id that repeats counts once in learning; long texts and ties are scored like any other."""
+    few, one = docs.select("doc_id", "text").where("doc_id < 200"), docs.where("doc_id = 1").first()
+    copies = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.lit(one.text).alias("text"))
+    long = spark.createDataFrame([(9_000_001, "word and " * 500_000), (9_000_002, "y" * 5_000_000)], few.schema)
+    both = few.where("doc_id <> 1").unionByName(copies).unionByName(long)
+    got = quality.score(both, labels).collect()
+    assert len(got) == both.count() and len({r.score for r in got if r.doc_id == 1}) == 1
+    assert all(0 <= r.score <= 1 for r in got)
+
+
 def test_quality_sees_no_held_out_label(spark, docs, labels):
     from textloom.llm.common import fold_col
 

@@ -1,29 +1,32 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with a temperature.
 
 Each token is read in three ways: as a word, as a shape (cases, digits, marks and their repeats, length) and as its
-place among what was said before (repeats of words and pairs). Each reading falls into one of UNITS units with a sparse
-random index vector; a unit's word vector sums the index vectors of its neighbours over all documents. A document is the
-mean of its units' vectors, a stretch for each reading.
+place among what was said before (repeats of words and pairs). Each of the VOCABULARY most frequent words of all
+documents is a unit of its own; rarer words, which a pooled vector hardly shows, share BUCKETS units by their hash, as
+shapes share SHAPES. A unit has a sparse random index vector, and its word vector sums the index vectors of its
+neighbours over all documents. A document is the mean of its units' vectors, a stretch for each reading.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import append, fold_col, id_text, map_rows
+from textloom.llm.common import Workspace, append, fold_col, id_text, map_rows
 
-#: Units of all readings; entries of a vector, and how many of an index vector are not 0.
-UNITS, WIDTH, FILLED = 2048, 64, 6
-#: Where words, shapes and repeats begin among units.
-WORDS, SHAPES, REPEATS = 0, 1024, 1984
-READINGS = ((WORDS, SHAPES), (SHAPES, REPEATS), (REPEATS, UNITS))
-FEATURES = len(READINGS) * WIDTH + 4
+#: Words that are units of their own, units of all other words, of shapes and of repeats.
+VOCABULARY, BUCKETS, SHAPES, REPEATS = 16_384, 2048, 960, 64
+WORDS, FORMS = VOCABULARY + BUCKETS, SHAPES + REPEATS
+#: Entries of a vector, and how many of an index vector are not 0.
+WIDTH, FILLED = 64, 6
+FEATURES = 3 * WIDTH + 4
 #: Bound on labelled rows that the network is fitted on.
 TRAIN = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 48, 60, 3e-3, 1e-4
@@ -31,12 +34,12 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
 
-def index_vectors() -> np.ndarray:
+def index_vectors(seed: int, units: int) -> np.ndarray:
     """Each unit's ternary vector."""
-    rng = np.random.default_rng(11)
-    out = np.zeros((UNITS, WIDTH), np.float32)
-    for row in out:
-        row[rng.choice(WIDTH, FILLED, replace=False)] = rng.choice([-1, 1], FILLED)
+    rng = np.random.default_rng(seed)
+    out = np.zeros((units, WIDTH), np.int8)
+    at = rng.random((units, WIDTH)).argpartition(FILLED, axis=1)[:, :FILLED]
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), (units, FILLED)), axis=1)
     return out
 
 
@@ -53,29 +56,73 @@ _kinds = _Kinds()
 
 
 def shape(token: str) -> str:
-    """Kinds of characters, runs of letters once, and the length, roughly."""
-    kinds = token[:64].translate(_kinds)
+    """Kinds of all its characters, runs of letters once, and the length, roughly."""
+    kinds = token.translate(_kinds)
     for c in "Aa0o":
         while c + c in kinds:
             kinds = kinds.replace(c + c, c)
     n = len(token)
-    return f"{kinds[:8]}{n if n < 4 else 4 if n < 9 else 5 if n < 16 else 6 if n < 32 else 7}"
+    return f"{kinds}{n if n < 4 else 4 if n < 9 else 5 if n < 16 else 6 if n < 32 else 7}"
+
+
+def word(token: str) -> int:
+    """A number for a token's word: small letters, without marks around it."""
+    return xxhash.xxh3_64_intdigest(token.lower().strip(".,;:!?()\"'").encode()) - (1 << 63)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word stands in all documents; summed in each task first."""
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        tokens: Counter = Counter()
+
+        def flush() -> dict[str, list]:
+            own: Counter = Counter()
+            for t, n in tokens.items():
+                own[word(t)] += n
+            tokens.clear()
+            return {"word": list(own.keys()), "n": list(own.values())}
+
+        for x in batches:
+            for text in x["text"]:
+                tokens.update(text.split())
+                if len(tokens) > 300_000:
+                    yield flush()
+        yield flush()
+
+    return map_rows(docs.select("text"), run, "word long,n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> dict[int, int]:
+    """Numbers of the most frequent words: all that stand so often that they are at most `most`, counts taken in steps
+    of a twentieth; nothing else of the counts comes to the driver."""
+    step = F.floor(F.log("n") * 20)
+    room, least = most, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    own = counts.where(step >= least).select("word").collect() if least is not None else []
+    return {w: i for i, w in enumerate(sorted(r["word"] for r in own))}
 
 
 class Reader:
     """Turns texts into units; known tokens are looked up."""
 
-    def __init__(self, most: int = 300_000):
-        self.most, self.known, self.serial = most, {}, 0
+    def __init__(self, number: dict[int, int], most: int = 300_000):
+        self.number, self.most, self.known, self.serial = number, most, {}, 0
 
     def _packed(self, token: str) -> int:
         """A number of the token's own, whether it is longer than three, its shape and its word."""
         self.serial += 1
-        word = zlib.crc32(token.lower().strip(".,;:!?()\"'").encode()) % (SHAPES - WORDS)
-        return ((self.serial * 2 + (len(token) > 3)) * 1024 + zlib.crc32(shape(token).encode()) % (REPEATS - SHAPES)) * 1024 + word
+        of = word(token)
+        unit = self.number.get(of, -1)
+        unit = VOCABULARY + of % BUCKETS if unit < 0 else unit
+        return ((self.serial * 2 + (len(token) > 3)) * 1024 + zlib.crc32(shape(token).encode()) % SHAPES) * 32_768 + unit
 
-    def __call__(self, text: str) -> np.ndarray:
-        """Units of all tokens: words, shapes, repeats."""
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units of all tokens: words (below WORDS), shapes and repeats (below FORMS)."""
         tokens = text.split()
         known, packed = self.known, self._packed
         if len(known) > self.most:
@@ -83,14 +130,9 @@ class Reader:
         for t in set(tokens).difference(known):
             known[t] = packed(t)
         n = len(tokens)
-        out = np.empty((3, n), np.int64)
-        if not n:
-            return out
         code = np.fromiter(map(known.__getitem__, tokens), np.int64, n)
-        out[0] = WORDS + (code & 1023)
-        out[1] = SHAPES + (code >> 10 & 1023)
         # how long ago a word stood, and whether the word before it stood there then too
-        of = code >> 21
+        of = code >> 26
         order = np.argsort(of, kind="stable")
         before = np.full(n, -1, np.int64)
         same = of[order[1:]] == of[order[:-1]]
@@ -99,73 +141,111 @@ class Reader:
         again = np.zeros(n, np.int64)
         again[1:] = (before[1:] > 0) & (of[np.maximum(before[1:] - 1, 0)] == of[:-1])
         step = np.frexp(gap.astype(np.float64))[1]  # 0 for none, else 1 + log2
-        out[2] = REPEATS + np.minimum(step, 15) * 4 + again * 2 + (code >> 20 & 1)
-        return out
+        return code & 32_767, code >> 15 & 1023, SHAPES + np.minimum(step, 15) * 4 + again * 2 + (code >> 25 & 1)
+
+
+class _Sums:
+    """Sums of neighbours' index vectors: words beside a word and its own shape, shapes beside a shape and its repeat,
+    and the shapes of a repeat."""
+
+    def __init__(self):
+        self.words, self.forms = np.zeros((WORDS, WIDTH), np.int64), np.zeros(FORMS * FORMS, np.int64)
+        self.of_words, self.of_forms = index_vectors(11, WORDS), index_vectors(12, FORMS)
+
+    def add(self, read: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        read = [x for x in read if len(x[0])]
+        if not read:
+            return
+        w, s = np.concatenate([x[0] for x in read]), np.concatenate([x[1] for x in read])
+        ends = np.cumsum([len(x[0]) for x in read])
+        near = self.of_forms[s]
+        near[1:] += self.of_words[w[:-1]]
+        near[:-1] += self.of_words[w[1:]]
+        cut = ends[:-1]  # the last and the first word of two documents aren't neighbours
+        near[cut] -= self.of_words[w[cut - 1]]
+        near[cut - 1] -= self.of_words[w[cut]]
+        order = np.argsort(w, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(w[order]) > 0])
+        self.words[w[order[starts]]] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
+        pairs = [c for _, a, r in read for c in (a[:-1] * FORMS + a[1:], r * FORMS + a)]
+        self.forms += np.bincount(np.concatenate(pairs), minlength=len(self.forms))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs, index = self.forms.reshape(FORMS, FORMS).astype(np.float64), self.of_forms.astype(np.float64)
+        total = np.concatenate([self.words.astype(np.float64), pairs @ index + pairs.T @ index])
+        used = np.flatnonzero(total.any(axis=1))
+        return used, total[used]
 
 
-_reader = Reader()
+@dataclass
+class Vectors:
+    number: dict[int, int]
+    words: np.ndarray
+    forms: np.ndarray
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """UNITS x WIDTH: each unit's neighbours' index vectors summed over all documents, centred and at unit length.
+def word_vectors(docs: DataFrame, number: dict[int, int]) -> Vectors:
+    """Each unit's neighbours' index vectors summed over all documents, centred and at unit length, by reading.
 
-    A task sends a row for each unit at most; neighbours are the readings of the tokens on both sides.
+    A task sends a row for each unit at most. Counts are whole numbers, so nothing is lost however many are summed.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(number)  # VOCABULARY entries
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        near = np.zeros(UNITS * UNITS, np.float32)
-
-        def add(codes: list[np.ndarray]) -> None:
-            nonlocal near
-            near += np.bincount(np.concatenate(codes), minlength=len(near))
-
+        sums, reader = _Sums(), _reader(shared.value)
         for x in batches:
-            codes, held = [], 0
+            read, held = [], 0
             for text in x["text"]:
-                w, s, r = _reader(text)
-                codes += [w[:-1] * UNITS + w[1:], s[:-1] * UNITS + s[1:], r[:-1] * UNITS + s[1:], w * UNITS + s]
-                held += 4 * len(w)
-                if held > 2_000_000:
-                    add(codes)
-                    codes, held = [], 0
-            if held:
-                add(codes)
-        pairs = near.reshape(UNITS, UNITS)
-        index = index_vectors()
-        total = pairs @ index + pairs.T @ index
-        used = np.flatnonzero(total.any(axis=1))
-        yield {"unit": used, "vector": list(total[used].astype(np.float64))}
+                read.append(reader(text))
+                held += len(read[-1][0])
+                if held > 200_000:
+                    sums.add(read)
+                    read, held = [], 0
+            sums.add(read)
+        used, total = sums.rows()
+        yield {"unit": used, "vector": list(total)}
 
     got = map_rows(docs.select("text"), run, "unit long,vector array<double>")
     sums = got.groupBy("unit").agg(*[F.sum(F.col("vector")[i]).alias(f"v{i}") for i in range(WIDTH)]).toPandas()
-    out = np.zeros((UNITS, WIDTH))
+    out = np.zeros((WORDS + FORMS, WIDTH))
     if len(sums):
         out[sums["unit"].to_numpy(np.int64)] = sums.drop(columns="unit").to_numpy()
-    for a, b in READINGS:
+    own = np.concatenate([index_vectors(11, WORDS), index_vectors(12, FORMS)])
+    for a, b in ((0, WORDS), (WORDS, WORDS + SHAPES), (WORDS + SHAPES, WORDS + FORMS)):
         norm = np.linalg.norm(out[a:b], axis=1, keepdims=True)
         unit = out[a:b] / np.where(norm > 0, norm, 1)
         unit -= unit.sum(axis=0) / max(1, (norm > 0).sum())
         # a unit's own index vector keeps apart units with the same neighbours
-        out[a:b] = np.where(norm > 0, unit, 0) + index_vectors()[a:b] / np.sqrt(FILLED)
-    return out.astype(np.float32)
+        out[a:b] = np.where(norm > 0, unit, 0) + own[a:b] / np.sqrt(FILLED)
+    return Vectors(number, out[:WORDS].astype(np.float32), out[WORDS:].astype(np.float32))
+
+
+_kept: list = [None, None]
+
+
+def _reader(number: dict[int, int]) -> Reader:
+    """A Python worker keeps the tokens that it knows while the vocabulary is the same."""
+    if _kept[0] != number:
+        _kept[:] = [number, Reader(number)]
+    return _kept[1]
 
 
-def features(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+def features(texts: list[str], vectors: Vectors) -> np.ndarray:
     """Means of units' vectors by reading, and the length."""
-    out = np.zeros((len(texts), FEATURES), np.float32)
+    out, reader = np.zeros((len(texts), FEATURES), np.float32), _reader(vectors.number)
     for at in range(0, len(texts), 512):
         part = texts[at : at + 512]
-        counts = np.zeros((len(part), UNITS), np.float32)
-        for row, text in zip(counts, part, strict=True):
-            units = _reader(text)
-            if units.shape[1]:
-                row += np.bincount(units.ravel(), minlength=UNITS)
-                row /= units.shape[1]
-        for k, (a, b) in enumerate(READINGS):
-            out[at : at + len(part), k * WIDTH : (k + 1) * WIDTH] = counts[:, a:b] @ vectors[a:b]
+        counts = np.zeros((len(part), FORMS), np.float32)
         for i, text in enumerate(part):
+            w, s, r = reader(text)
             n, words = len(text), text.count(" ") + 1
+            if len(w):
+                # in stretches, so that a long text doesn't gather all its vectors at once
+                out[at + i, :WIDTH] = sum(vectors.words[w[j : j + 65_536]].sum(axis=0, dtype=np.float64) for j in range(0, len(w), 65_536)) / len(w)
+                counts[i] = (np.bincount(s, minlength=FORMS) + np.bincount(r, minlength=FORMS)) / len(w)
             out[at + i, -4:] = np.log1p(n) / 8, np.log1p(words) / 8, n / words / 16, text.count("\n") / words
+        for k, (a, b) in enumerate(((0, SHAPES), (SHAPES, FORMS)), 1):
+            out[at : at + len(part), k * WIDTH : (k + 1) * WIDTH] = counts[:, a:b] @ vectors.forms[a:b]
     return out
 
 
@@ -228,29 +308,31 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, train: int = TRAIN) -> Network:
-    """docs as of id_text(). At most `train` labelled rows outside the fold HELD_OUT, chosen by a hash of their ids."""
+def learn(docs: DataFrame, labels: DataFrame, vectors: Vectors, *, train: int = TRAIN) -> Network:
+    """docs as of id_text(). At most `train` labelled rows outside the fold HELD_OUT, chosen by a hash of their ids; of
+    rows that repeat an id the alphabetically first text."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
     own = own.where(fold_col(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)  # WORDS + FORMS rows
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in batches:
             yield {"doc_id": x["doc_id"], "quality": x["quality"], "x": [f.tobytes() for f in features(x["text"], shared.value)]}
 
-    rows = docs.join(F.broadcast(own), "doc_id").select("doc_id", "text", "quality")  # `train` rows of ids at most
-    got = map_rows(rows, run, "doc_id long,quality int,x binary").toPandas()
-    got["key"] = got["x"].map(bytes)
-    got = got.sort_values(["doc_id", "key"]).reset_index(drop=True)
-    x = np.array([np.frombuffer(b, np.float32) for b in got["key"]]) if len(got) else np.zeros((0, FEATURES), np.float32)
+    rows = docs.join(F.broadcast(own), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # `train` rows of ids at most
+    got = map_rows(rows, run, "doc_id long,quality int,x binary").toPandas().sort_values("doc_id")
+    x = np.array([np.frombuffer(b, np.float32) for b in got["x"]]) if len(got) else np.zeros((0, FEATURES), np.float32)
     return fit(x, got["quality"].to_numpy(np.float64))
 
 
 def append_score(docs: DataFrame, labels: DataFrame, name: str, *, id_col: str = "doc_id", text_col: str = "text", train: int = TRAIN) -> DataFrame:
-    """docs as they are, with their scores in a further column."""
+    """docs as they are, with their scores in a further column, row by row in place. A null text counts as empty; rows
+    that repeat get the same score each; an empty table gives none. `score` says which labels count."""
     base = id_text(docs, id_col, text_col)
-    vectors = word_vectors(base)
+    space = Workspace(docs.sparkSession, "quality")
+    vectors = word_vectors(base, vocabulary(space.save(word_counts(base), "counts")))
+    space.close()
     shared = docs.sparkSession.sparkContext.broadcast((vectors, learn(base, labels, vectors, train=train)))
 
     def start() -> Callable[[list[str]], np.ndarray]:
