@@ -21,8 +21,11 @@ def key(x):
     return tuple((v is None, v if v is not None else 0) for v in x)
 
 
-def test_exact(odd, odd_rows):
-    got = exact.groups(odd).collect()
+@pytest.mark.parametrize("memtable", [4_000_000, 8])
+def test_exact(odd, odd_rows, memtable):
+    """With one level and with several."""
+    docs = odd if memtable > 8 else odd.repartition(40)
+    got = exact.groups(docs, memtable=memtable, fanin=4 if memtable > 8 else 2).collect()
     by = defaultdict(list)
     for i, t in odd_rows:
         by[t or ""].append(i)
@@ -37,6 +40,16 @@ def test_exact(odd, odd_rows):
     assert all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_exact_hot_group(spark):
+    """One text has a third of the rows, another is null: every row finds its group."""
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('t', id % 1000) END AS text").repartition(7)
+    want = defaultdict(list)
+    for r in rows.collect():
+        want[r.text or ""].append(r.doc_id)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.least_id) for r in exact.groups(rows).collect()}
+    assert got == {i: (max(x), len(x), min(x)) for x in want.values() for i in x}
+
+
 def test_exact_takes_equal_digests_apart(spark, odd, odd_rows, monkeypatch):
     """With a digest of one bit, groups must still be those of the texts."""
     from pyspark.sql import functions as F

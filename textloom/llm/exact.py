@@ -1,13 +1,15 @@
 """Exact dedup as a log-structured merge index, in DataFrame operations only.
 
-Rows fall into memtables by where they lie in the input. Each memtable is flushed as a run: one row for each digest
-with the smallest and the largest (id, row) and the number of rows, sorted by digest, with a bitmap filter. Compaction
-lets a digest pass by that is single in its run and in no other run's filter, and merges the others by digest, keeping
-the smallest and largest ids. Digests with more than one row are hits: the texts behind them are compared byte by byte,
-and equal digests over different texts are taken apart by their texts.
+Rows fall into memtables of about MEMTABLE rows by where they lie in the input, so there are as many as the input asks
+for. Each memtable is flushed as a run of level 0: one row for each digest with the smallest and the largest (id, row)
+and the number of rows, sorted by digest. Compaction merges FANIN runs of a level to one of the next, until one run is
+left: runs have bitmap filters, a digest in no other run's filter passes by, and the others are merged by digest,
+keeping the smallest and largest ids. Digests with more than one row are hits: the texts behind them are compared byte
+by byte, and equal digests over different texts are taken apart by their texts.
 
 Only digests travel for all rows. Texts travel for probable hits alone, one for each task and digest, as partial minima
-and maxima are taken first. Probable hits are picked by a bitmap whose size doesn't depend on the data.
+and maxima are taken first. Probable hits are picked by a bitmap that has HIT_BITS for each hit up to MOST_HIT_BITS;
+beyond that it lets other texts pass too, at worst all, which costs a shuffle and no result.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Workspace, id_text
+from textloom.llm.common import Workspace, id_text, join_by_key
 
-#: Memtables, and so runs of level 0.
-RUNS = 4
+#: Rows of a memtable, about; runs that are merged to one of the next level. The smallest inputs have FANIN memtables.
+MEMTABLE, FANIN = 4_000_000, 4
 #: Bits of a run's filter for each of its digests, before rounding up to a power of two.
 FILTER_BITS = 16
-#: Bits of the filter by which the text scan picks probable hits: at most 8 MB, whatever the data, so it is broadcast.
-HIT_BITS = 1 << 26
+#: Bits for each hit of the filter by which the text scan picks probable hits, and the most: 32 MB, so it is broadcast.
+HIT_BITS, MOST_HIT_BITS = 16, 1 << 28
 #: Bits in one row of a filter: what bitmap_construct_agg makes.
 ROW_BITS = 32768
 
@@ -54,23 +56,25 @@ def _power(n: int, least: int) -> int:
     return max(least, 1 << max(0, n - 1).bit_length())
 
 
-def compact(level0: DataFrame, runs: int, rows: int) -> DataFrame:
-    """digest, least, greatest, n: level 0's runs merged."""
-    bits = _power(rows * FILTER_BITS, ROW_BITS)
-    filters = bitmaps(level0, bits, "run").groupBy("bucket").agg(*[F.max(F.when(F.col("run") == i, F.col("filter"))).alias(f"f{i}") for i in range(runs)])
+def compact(level: DataFrame, rows: int, runs: int, fanin: int = FANIN) -> DataFrame:
+    """run, digest, least, greatest, n: each `fanin` runs of a level merged to one."""
+    level = level.withColumns({"slot": F.col("run") % fanin, "run": F.floor(F.col("run") / fanin).cast("int")})
+    bits = _power(rows * FILTER_BITS * min(fanin, runs) // runs, ROW_BITS)
+    filters = bitmaps(level, bits, "run", "slot").groupBy("run", "bucket").agg(*[F.max(F.when(F.col("slot") == i, F.col("filter"))).alias(f"f{i}") for i in range(fanin)])
     at = _position(F.col("digest"), bits)
-    probed = level0.withColumns({"bucket": F.floor(at / ROW_BITS).cast("long"), "place": at % ROW_BITS}).join(filters, "bucket")
-    elsewhere = reduce(lambda a, b: a | b, [(F.col("run") != i) & _set(F.col(f"f{i}"), F.col("place")) for i in range(runs)])
-    probed = probed.select("digest", "least", "greatest", "n", elsewhere.alias("elsewhere"))
+    probed = level.withColumns({"bucket": F.floor(at / ROW_BITS).cast("long"), "place": at % ROW_BITS}).join(filters, ["run", "bucket"])
+    elsewhere = reduce(lambda a, b: a | b, [(F.col("slot") != i) & _set(F.col(f"f{i}"), F.col("place")) for i in range(fanin)])
+    probed = probed.select("run", "digest", "least", "greatest", "n", elsewhere.alias("elsewhere"))
     alone = probed.where(~F.col("elsewhere")).drop("elsewhere")
-    merged = probed.where("elsewhere").groupBy("digest").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("n").alias("n"))
+    merged = probed.where("elsewhere").groupBy("run", "digest").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("n").alias("n"))
     return alone.unionByName(merged)
 
 
-def _probable(rows: DataFrame, hits: DataFrame) -> DataFrame:
+def _probable(rows: DataFrame, hits: DataFrame, many: int) -> DataFrame:
     """rows (with digest) that the hits' filter doesn't rule out."""
-    at = _position(F.col("digest"), HIT_BITS)
-    sized = F.broadcast(bitmaps(hits, HIT_BITS))  # HIT_BITS / 8 bytes at most
+    bits = min(MOST_HIT_BITS, _power(many * HIT_BITS, ROW_BITS))
+    at = _position(F.col("digest"), bits)
+    sized = F.broadcast(bitmaps(hits, bits))  # MOST_HIT_BITS / 8 bytes at most
     return (
         rows.withColumns({"bucket": F.floor(at / ROW_BITS).cast("long"), "place": at % ROW_BITS})
         .join(sized, "bucket")
@@ -79,7 +83,7 @@ def _probable(rows: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtable: int = MEMTABLE, fanin: int = FANIN) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, least_id: one row for each row of docs.
 
     Texts are equal if their bytes are; a null text counts as empty. Of equal texts the row with the largest id stays
@@ -89,24 +93,24 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     space = Workspace(docs.sparkSession, "exact")
     base = id_text(docs, id_col, text_col)
     own = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.col("row"))
-    keyed = space.save(
-        base.select(
-            "doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("text", 256)).alias("digest"),
-            F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"),
-        ),
-        "memtables",
-    )
-    flushed = keyed.groupBy("run", "digest").agg(F.min(own).alias("least"), F.max(own).alias("greatest"), F.count(F.lit(1)).alias("n"))
-    level0 = space.save(flushed.sortWithinPartitions("run", "digest"), "level0")
-    level1 = compact(level0, RUNS, level0.count())
-    hits = space.save(level1.where("n > 1"), "hits")
-    texts = _probable(base.select("text", F.unhex(F.sha2("text", 256)).alias("digest")), hits)
+    keyed = space.save(base.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("text", 256)).alias("digest")), "memtables")
+    rows = keyed.count()
+    runs = max(fanin, -(-rows // memtable))
+    run = F.pmod(F.shiftright("row", 33), F.lit(runs)).cast("int").alias("run")  # by the input's partition
+    flushed = keyed.groupBy(run, "digest").agg(F.min(own).alias("least"), F.max(own).alias("greatest"), F.count(F.lit(1)).alias("n"))
+    level, height = space.save(flushed.sortWithinPartitions("run", "digest"), "level0"), 0
+    while runs > 1:
+        merged = compact(level, level.count(), runs, fanin)
+        level, height, runs = space.save(merged.sortWithinPartitions("run", "digest"), f"level{height + 1}"), height + 1, -(-runs // fanin)
+        space.drop(f"level{height - 1}")
+    hits = space.save(level.where("n > 1").drop("run"), "hits")
+    texts = _probable(base.select("text", F.unhex(F.sha2("text", 256)).alias("digest")), hits, hits.count())
     seen = texts.groupBy("digest").agg(F.min("text").alias("first"), F.max("text").alias("last"))
     apart = space.save(seen.where("first <> last").select("digest"), "collisions")
-    return _result(keyed, hits, apart, base, space, own)
+    return _result(keyed, hits, apart, base, space, own, rows)
 
 
-def _result(keyed: DataFrame, hits: DataFrame, apart: DataFrame, base: DataFrame, space: Workspace, own: Column) -> DataFrame:
+def _result(keyed: DataFrame, hits: DataFrame, apart: DataFrame, base: DataFrame, space: Workspace, own: Column, total: int) -> DataFrame:
     sha = F.lower(F.hex("digest"))
     if not apart.isEmpty():
         # Equal digests over different texts: such rows are grouped by their texts. No such texts are known for SHA-256.
@@ -115,7 +119,7 @@ def _result(keyed: DataFrame, hits: DataFrame, apart: DataFrame, base: DataFrame
         of = rows.groupBy("text").agg(F.min(own).alias("least"), F.max(own).alias("greatest"), F.count(F.lit(1)).alias("n"))
         odd = space.save(rows.join(of, "text").select("doc_id", "row", "digest", "least", "greatest", "n"), "apart")
         keyed = keyed.join(apart, "digest", "left_anti")
-    found = keyed.join(hits, "digest", "left").select("doc_id", "row", "digest", "least", "greatest", "n")
+    found = join_by_key(keyed, hits.withColumn("size", F.col("n")), "digest", total, "left").select("doc_id", "row", "digest", "least", "greatest", F.col("size").alias("n"))
     if not apart.isEmpty():
         found = found.unionByName(odd)
     mine = F.col("n").isNull() | (F.col("greatest.row") == F.col("row"))
