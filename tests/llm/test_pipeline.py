@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from tests.llm.test_exact_license_decontaminate import brute_windows
-from tests.llm.test_simhash import brute_classes, brute_print
+from tests.llm.test_shingles import brute_roots
 from textloom.llm import quality
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +21,7 @@ def test_pipeline_against_plain_versions(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in ok]
     rows = list({t: (i, t) for i, t in sorted(rows)}.values())
     rows.sort()
-    of = brute_classes([brute_print(t) for _, t in rows])
+    of = brute_roots([t for _, t in rows])
     rows = [r for n, r in enumerate(rows) if of[n] == n]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hit = {w[0] for w in brute_windows(rows, items) if w[5]}
@@ -35,11 +35,15 @@ def test_pipeline_against_plain_versions(spark):
     assert sorted(got) == want and 0 < len(want) < docs.count()
 
 
-@pytest.mark.parametrize("n", range(4))
+@pytest.mark.parametrize("n", range(5))
 def test_stages_keep_columns_and_odd_rows(spark, odd, empty, n):
     _, stage = pipeline.STAGES[n]
     docs = odd.withColumnsRenamed({"n": "score", "digest": "hits", "row": "own_key"})
     got = stage(spark, docs, SF)
+    if n == 4:
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(-1 if r.doc_id is None else r.doc_id for r in docs.collect())
+        assert stage(spark, empty, SF).count() == 0
+        return
     assert got.schema == docs.schema
     texts = [r.text for r in got.collect()]
     assert len(texts) > 10 or n == 0

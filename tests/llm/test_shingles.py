@@ -61,6 +61,41 @@ def test_order_of_shingles_changes_nothing():
     assert got == [n if not len(sets[n]) else w for n, w in enumerate(want)]
 
 
+@pytest.mark.parametrize("n", [20, 40, 200])
+def test_bands_find_pairs_of_the_least_similarity(n):
+    """Sets of similarity 0.8 share a band and are within the radii as often as the layout says; small ones needn't."""
+    r, lost = np.random.default_rng(n), 0
+    bits, many = shingles.layout(1 << 18)
+    for _ in range(300):
+        own = r.integers(-(1 << 62), 1 << 62, 2 * n)
+        k = round(n * 0.2 / 1.8)  # of n each, k differ
+        prints = [shingles.fingerprints(s, -(-bits * many // 64)) for s in (own[:n], own[k : n + k])]
+        both = [np.array(p[:2], np.uint64) for p in prints]
+        far = np.bitwise_count(both[0] ^ both[1])
+        lost += far[0] > shingles.RADIUS or far.sum() > shingles.BOTH or not set(shingles.bands(prints[0], bits, many)) & set(shingles.bands(prints[1], bits, many))
+    assert lost <= (3 if n > shingles.SMALL else 100)
+
+
+@pytest.mark.parametrize("rows", [10, 1 << 18, 1 << 30, 1 << 36])
+def test_layout_misses_few(rows):
+    bits, many = shingles.layout(rows)
+    assert (1 - shingles.AGREE**bits) ** many <= shingles.MISS and rows >> bits <= 512
+    keys = shingles.bands([(1 << 64) - 1] * -(-bits * many // 64), bits, many)
+    assert len(set(keys)) == many and all(k & (1 << 48) - 1 == (1 << bits) - 1 for k in keys)
+
+
+def test_odd_rows(odd, odd_rows, empty):
+    """Null and empty texts are alike, rows that repeat are each returned, clashing columns don't matter."""
+    got = shingles.classes(odd).collect()
+    root = brute_roots([t or "" for _, t in odd_rows])
+    ids = {}
+    for (i, _), c in zip(odd_rows, root):
+        ids.setdefault(c, []).append(i)
+    want = sorted((-1 if i is None else i, min((x for x in ids[c] if x is not None), default=-1)) for (i, _), c in zip(odd_rows, root))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.component_id is None else r.component_id) for r in got) == want
+    assert shingles.classes(empty).count() == 0
+
+
 def test_stage_takes_near_copies_far_in_fingerprint(spark):
     """Similarity 0.8 of five-word shingles counts, whatever the fingerprints; below it nothing does."""
     words = [f"w{n}" for n in range(104)]  # 100 shingles

@@ -83,16 +83,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 HOT_ROWS, HOT_SHARE = 256, 1000
 
 
-def join_by_key(rows: DataFrame, to: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def join_by_key(rows: DataFrame, to: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
     """rows joined with `to`, which has one row for each key and in n how many rows have it, without n.
 
     Rows of a hot key stay where they are: hot keys, HOT_SHARE at most as each has that share of `total` rows, are
     broadcast. The others are joined as usual, and none of them gathers many rows in one task.
     """
-    most = max(HOT_ROWS, total // HOT_SHARE)
+    most, on = max(HOT_ROWS, total // HOT_SHARE), [key] if isinstance(key, str) else key
     hot = F.broadcast(to.where(F.col("n") > most).drop("n"))
-    rest = rows.join(hot.select(key), key, "left_anti").join(to.where(F.col("n") <= most).drop("n"), key, how)
-    return rows.join(hot, key).unionByName(rest)
+    rest = rows.join(hot.select(*on), on, "left_anti").join(to.where(F.col("n") <= most).drop("n"), on, how)
+    return rows.join(hot, on).unionByName(rest)
 
 
 def ascii_lower(c: Column) -> Column:

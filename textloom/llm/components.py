@@ -9,30 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Workspace
+from textloom.llm.common import Workspace, join_by_key
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour, or to itself if that is smaller."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_by_key(both.where("b > a"), least, "a", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = join_by_key(down, least, "a", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return met.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def components(links: DataFrame, space: Workspace) -> DataFrame:
-    """a, b: each node that has links, but the smallest of its component, with that smallest node."""
-    now, state, round_ = space.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links0"), None, 0
+def components(links: DataFrame, space: Workspace, name: str = "links") -> DataFrame:
+    """a, b: each node that has links, but the smallest of its component, with that smallest node.
+
+    Links may repeat and lead from a node to itself; an empty table gives none. However many links a node has, minima
+    are taken in each task first and it is joined where its links lie.
+    """
+    now, state, round_ = space.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0"), None, 0
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == state or not mark[0]:
             return now
         state, round_ = mark, round_ + 1
-        now = space.save(_small_star(_large_star(now)).distinct(), f"links{round_}")
-        space.drop(f"links{round_ - 1}")
+        large = space.save(_large_star(now, mark[0]).distinct(), f"{name}_large{round_}")
+        now = space.save(_small_star(large, mark[0]).distinct(), f"{name}{round_}")
+        space.drop(f"{name}_large{round_}")
+        space.drop(f"{name}{round_ - 1}")

@@ -1,45 +1,48 @@
-"""Near copies by true Jaccard similarity of word shingles: banded min-hashes for candidates, each class verified.
-
-A text is its set of hashed shingles; equal sets are one node. A band is the smallest values of its set under six hash
-functions, and sets that agree in one of 40 bands are candidates: at similarity 0.8, the least that counts, two sets
-agree in none with probability (1 - 0.8^6)^40 = 5e-6, and nearer ones less. Candidates are linked to stars, so there are
-no more links than bands; the sets of a component of such links meet in one task (in parts that meet pairwise where it
-is large), where every two that aren't in one class yet and can reach the least similarity by their prefixes are
-compared in full. No link is made that wasn't verified.
+"""Near copies by true Jaccard similarity of word shingles: SimHash finds candidates, each class is verified.
+
+A text is its set of hashed shingles; equal sets are one node. A node has several SimHash fingerprints, each a majority
+of the set's hashes after another mixing. Bands of their bits deal nodes to blocks, in which the bit-sliced comparison
+of the near-dedup operator finds those whose first fingerprint is within RADIUS; the first two together must be within
+BOTH. Two sets of similarity 0.8 agree in a bit with probability 1 - acos(2s/(1+s))/pi = 0.85 for large sets; there are
+as many bands as leave out such a pair with probability MISS, and more alike ones less. As bits say little about small
+sets, those of SMALL shingles or fewer (and what may be near them) also meet by their rarest shingles: such pairs share
+one of the first n - 0.8n + 1 in any order, so none is lost.
+
+Candidates are linked to stars, so there are no more links than nodes in a block; the sets of a component of such links
+meet in one task (in parts that meet pairwise where it is large), where every two that aren't in one class yet and can
+reach the least similarity by their prefixes are compared in full. No link is made that wasn't verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
-from math import ceil
+from math import ceil, log, log2
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Workspace, id_text, map_rows
+from textloom.llm.common import Workspace, id_text, join_by_key, map_rows
 from textloom.llm.components import components
-from textloom.llm.simhash import SEED, words
+from textloom.llm.simhash import SEED, _join, hashes, majority, name_classes, near, words
 
 SHINGLE, LEAST = 5, 0.8
 #: Shingles of a component that meet in one task; a larger component is cut into parts of about this size.
 PART = 800_000
-#: Bands, hash functions in each, shingles that are hashed at once.
-BANDS, BAND, STEP = 40, 6, 512
-_FACTORS = np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=BANDS * BAND // 2) * np.uint64(2) + np.uint64(1)
+#: Nodes of a block that are compared at once; a larger block is cut into parts that meet pairwise.
+BLOCK = 4096
+#: Distance of the first fingerprint, and of the first two, up to which nodes are candidates.
+RADIUS, BOTH = 23, 38
+#: How often a bit of two sets of the least similarity agrees at least, and how often such a pair may be in no band.
+AGREE, MISS = 0.84, 1e-3
+#: Sets of so many shingles or fewer also meet by their rarest shingles.
+SMALL = 32
 
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; fewer words than a shingle are one, no words are none."""
-    own = words(text)
-    if not own:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(own)
-    starts = [0, *accumulate(len(w) + 1 for w in own)]
-    k, digest = min(shingle, len(own)), xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[k:], strict=False)], "<u8").view("<i8"))
+    return np.unique(hashes(words(text), shingle).view(np.int64))
 
 
 def node(own: np.ndarray) -> int:
@@ -62,44 +65,102 @@ def prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray, least: float)
     return own[np.argsort(rank, kind="stable")[: len(own) - needed(len(own), least) + 1]]
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """One key for each band of a set; none for an empty set."""
-    if not len(own):
-        return own
-    least = np.full((len(_FACTORS), 2), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(own), STEP):
-        hashed = _FACTORS[:, None] * own[None, at : at + STEP].view(np.uint64)
-        low, high = hashed.astype(np.uint32), (hashed >> np.uint64(32)).astype(np.uint32)
-        least = np.minimum(least, np.stack([low.min(axis=1), high.min(axis=1)], axis=1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least.reshape(BANDS, BAND))], "<u8").view("<i8")
+def layout(rows: int) -> tuple[int, int]:
+    """Bits in a band and number of bands for so many nodes: about 512 unlike ones share a band's bits by chance."""
+    bits = max(6, ceil(log2(max(2, rows))) - 9)
+    return bits, ceil(log(MISS) / log(1 - AGREE**bits))
+
+
+def _mixers(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=n) * np.uint64(2) + np.uint64(1)
+
+
+def fingerprints(own: np.ndarray, n: int) -> list[int]:
+    """n fingerprints of a set; that of an empty one is 0."""
+    out, h = [], own.view(np.uint64)
+    for factor in _mixers(n) if len(own) else ():
+        x = h * factor
+        out.append(majority(x ^ x >> np.uint64(29)))
+    return out or [0] * n
+
 
+def bands(prints: list[int], bits: int, many: int) -> list[int]:
+    """A key for each band: its number and its bits."""
+    pool, mask = sum(x << 64 * i for i, x in enumerate(prints)), (1 << bits) - 1
+    return [b << 48 | pool >> b * bits & mask for b in range(many)]
 
-def _rows(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, node, n, keys (of the bands) of each row."""
+
+def _rows(docs: DataFrame, shingle: int, least: float, bits: int, many: int) -> DataFrame:
+    """doc_id, text_key, node, n, first and second fingerprint, keys of the bands, and the shingles of small sets."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in batches:
             sets = [shingles(t, shingle) for t in x["text"]]
-            yield {"doc_id": x["doc_id"], "text_key": x["text_key"], "node": [node(s) for s in sets], "n": [len(s) for s in sets], "keys": [bands(s) for s in sets]}
-
-    return map_rows(docs, run, "doc_id long,text_key long,node long,n long,keys array<long>")
-
+            prints = [fingerprints(s, max(2, -(-bits * many // 64))) for s in sets]
+            first = np.array([p[:2] for p in prints], np.uint64).reshape(-1, 2).view(np.int64)
+            yield {
+                "doc_id": x["doc_id"], "text_key": x["text_key"], "node": [node(s) for s in sets], "n": [len(s) for s in sets], "first": first[:, 0], "second": first[:, 1],
+                "keys": [bands(p, bits, many) if len(s) > SMALL else [] for p, s in zip(prints, sets, strict=True)],
+                "small": [s if len(s) * least <= SMALL else [] for s in sets],
+            }
+
+    return map_rows(docs, run, "doc_id long,text_key long,node long,n long,first long,second long,keys array<long>,small array<long>")
+
+
+def _near_in_bands(nodes: DataFrame, total: int, space: Workspace) -> DataFrame:
+    """a, b: stars of the nodes that a band's bits bring together and that are near by their fingerprints."""
+    rows = nodes.select("node", "first", "second", F.explode("keys").alias("key"))
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    full = space.save(full.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "n"), "full")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    rows = join_by_key(rows, full, "key", total, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    groups = ["key", "i", "j"]
+    rows = rows.select("node", "first", "second", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return map_rows(rows.repartition(*groups).sortWithinPartitions(*groups, "side"), _compared, "a long,b long")
+
+
+def _compared(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    """Rows sorted by group in, a spanning star for each connected set of a group out."""
+    held: list[np.ndarray] = []
+
+    def compare(rows: np.ndarray) -> dict[str, list]:
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+        sizes = np.diff(np.r_[starts, len(rows)])
+        place = np.arange(len(rows))
+        last = np.repeat(starts + sizes, sizes)
+        middle = np.repeat(starts + np.add.reduceat(1 - rows[:, 3], starts), sizes)  # where side 1 begins
+        first = np.where(rows[:, 1] < rows[:, 2], middle, place + 1)
+        last = np.where((rows[:, 1] < rows[:, 2]) & (rows[:, 3] == 1), first, last)
+        root, prints = place.copy(), rows[:, 5:].view(np.uint64)
+        for a, b in near(prints[:, 0], first, np.maximum(last, first), RADIUS):
+            close = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= BOTH
+            _join(root, a[close], b[close])
+        own = np.flatnonzero(root != place)
+        return {"a": rows[own, 4], "b": rows[root[own], 4]}
 
-def _stars(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-    """Rows sorted by key and node in, links of each node of a key to the key's first out."""
-    last, first = None, 0
     for x in batches:
-        key, own = np.array(x["key"], np.int64), np.array(x["node"], np.int64)
-        if not len(key):
-            continue
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        heads = own[starts]
-        if key[0] == last:
-            heads[0] = first
-        to = np.repeat(heads, np.diff(np.r_[starts, len(key)]))
-        last, first = key[-1], heads[-1]
-        links = np.unique(np.stack([own, to])[:, own != to], axis=1)
-        yield {"a": links[0], "b": links[1]}
+        rows = np.concatenate([*held, np.array([x[c] for c in ("key", "i", "j", "side", "node", "first", "second")], np.int64).T])
+        if len(rows):
+            cut = int((rows[:, :3] != rows[-1, :3]).any(axis=1).nonzero()[0].max(initial=-1)) + 1
+            held = [np.ascontiguousarray(rows[cut:])]
+            if cut:
+                yield compare(np.ascontiguousarray(rows[:cut]))
+    if held:
+        yield compare(held[0])
+
+
+def _near_by_shingles(nodes: DataFrame, least: float, space: Workspace) -> DataFrame:
+    """a, b: stars of the small sets that share one of their rarest shingles."""
+    rows = space.save(nodes.select("node", "n", F.explode("small").alias("shingle")), "small")
+    total = rows.count()
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).withColumn("often", F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    prefix = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
+    own = join_by_key(rows.withColumnRenamed("n", "size"), often, "shingle", total).withColumn("rank", rank)
+    own = space.save(own.where((F.col("rank") <= prefix) & (F.col("often") > 1)).select("node", "shingle"), "rarest")
+    heads = own.groupBy("shingle").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
+    return join_by_key(own, heads, "shingle", total).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
 
 
 def join(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
@@ -166,37 +227,39 @@ def _verified(shingle: int, least: float):
 
 def _dealt(members: DataFrame, part: int) -> DataFrame:
     """members (node, class, n, text) by the groups that meet: i = j within a part, i < j between two."""
-    parts = members.groupBy("class").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"))
-    rows = members.join(parts, "class").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    parts = members.groupBy("class").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    rows = join_by_key(members.select("node", "class", "text"), parts, "class", members.count()).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.select("node", "text", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
 def classes(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """doc_id, component_id (the smallest id that links of similarity least or more lead to), kept (one row of each
-    class, with the smallest id), text_key.
+    class, with the smallest id), text_key, size (rows of the class).
 
     Words are cut at ASCII white space, A-Z is lowered. A null text counts as empty; texts without words are alike.
-    Rows that repeat are each returned with the same class; null ids come last. An empty table gives none.
+    Rows that repeat are each returned with the same class; null ids come last. An empty table gives none. Only the two
+    named columns are read.
     """
     space, after = Workspace(docs.sparkSession, "shingles"), Workspace(docs.sparkSession, "shingle_links")
     texts = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    rows = space.save(_rows(texts, shingle), "rows")
-    keyed = rows.select("node", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "node")
-    found = components(map_rows(keyed, _stars, "a long,b long"), space)
+    many = texts.count()
+    rows = space.save(_rows(texts, shingle, least, *layout(many)), "rows")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    about = [F.first(c).alias(c) for c in ("n", "first", "second", "keys", "small")]  # of equal sets these are equal
+    nodes = space.save(rows.groupBy("node").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("rows"), *about), "nodes")
+    found = components(_near_in_bands(nodes, many, space).unionByName(_near_by_shingles(nodes, least, space)), space)
     of = found.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct())
-    named = rows.select("node", "n", "doc_id", "text_key").join(of, "node").groupBy("node", "class").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
-    named = named.select("node", "class", "n", F.col("one.doc_id").alias("own_id"), F.col("one.text_key").alias("own_key"))
+    named = nodes.join(of, "node").select("node", "class", "n", F.col("least.doc_id").alias("own_id"), F.col("least.text_key").alias("own_key"))
+    # the text of one row of each node that has candidates
     same = (texts.text_key == named.own_key) & texts.doc_id.eqNullSafe(named.own_id)
     members = space.save(texts.join(named, same).select("node", "class", "n", "text").dropDuplicates(["node"]), "members")
     dealt = _dealt(members, part).repartition("class", "i", "j").sortWithinPartitions("class", "i", "j", "side", "node")
     joined = components(map_rows(dealt, _verified(shingle, least), "a long,b long"), after)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = rows.groupBy("node").agg(F.min(own).alias("least"))
-    of = nodes.join(joined, nodes.node == joined.a, "left").select("node", "least", F.coalesce("b", "node").alias("class"))
-    of = after.save(of, "of")
-    named = after.save(of.join(of.groupBy("class").agg(F.min("least").alias("first")), "class").select("node", "first"), "named")
-    return rows.join(named, "node").select(
+    total = nodes.count()
+    nodes = nodes.select("node", "least", F.col("rows").alias("n"))
+    named = after.save(name_classes(nodes, joined, "node", total, after), "named")
+    return join_by_key(rows.select("doc_id", "text_key", "node"), named.withColumnRenamed("class_rows", "size"), "node", many).select(
         "doc_id", F.col("first.doc_id").alias("component_id"),
-        (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))).alias("kept"), "text_key",
+        (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))).alias("kept"), "text_key", "size",
     )

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import LOWER_BYTES, Workspace, id_text, map_rows
+from textloom.llm.common import LOWER_BYTES, Workspace, id_text, join_by_key, map_rows
 from textloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -31,20 +31,33 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(LOWER_BYTES).split()
 
 
-def fingerprint(own: list[bytes], shingle: int = SHINGLE) -> int:
-    """The majority of each bit over all shingles' hashes, as an unsigned number; 0 without words."""
+_LOW = np.uint64(0x0101010101010101)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as an unsigned number.
+
+    Each byte of a word counts one bit in turn; 255 words are added before a byte could run over.
+    """
+    counts, at = np.empty(64, np.int64), np.arange(0, len(h), 255)
+    for j in range(8):
+        counts[j::8] = np.add.reduceat(h >> np.uint64(j) & _LOW, at).view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
+def hashes(own: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """A hash for each shingle, repeats included; fewer words than a shingle are one, no words are none."""
     if not own:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(own)
     starts = [0, *accumulate(len(w) + 1 for w in own)]
-    k = min(shingle, len(own))
     digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(own) - k + 1
-    for at in range(0, n, 65_536):
-        h = [digest(joined[a : b - 1], SEED) for a, b in zip(starts[at : min(n, at + 65_536)], starts[at + k :], strict=False)]
-        bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[min(shingle, len(own)) :], strict=False)], np.uint64)
+
+
+def fingerprint(own: list[bytes], shingle: int = SHINGLE) -> int:
+    """The majority of each bit over all shingles' hashes, as an unsigned number; 0 without words."""
+    return majority(hashes(own, shingle)) if own else 0
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,15 +89,15 @@ def choice(rows: int, radius: int) -> list[int]:
     return keys(64, radius + match, match)
 
 
-def _dealt(prints: DataFrame, masks: list[int], part: int, space: Workspace) -> DataFrame:
+def _dealt(prints: DataFrame, masks: list[int], part: int, total: int, space: Workspace) -> DataFrame:
     """fingerprint, band, key, i, j, side: the groups to compare; i = j within a part, i < j between two."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     band = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(signed)])).alias("x")
     rows = prints.select("fingerprint", band).select("fingerprint", "x.band", "x.key")
     full = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
-    full = space.save(full.select("band", "key", F.ceil(F.col("n") / part).cast("int").alias("parts")), "full")
+    full = space.save(full.select("band", "key", F.ceil(F.col("n") / part).cast("int").alias("parts"), "n"), "full")
     own: Column = F.pmod(F.xxhash64("fingerprint", F.lit(1)), F.col("parts")).cast("int")
-    rows = rows.join(full, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = join_by_key(rows, full, ["band", "key"], total, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.select("fingerprint", "band", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     return rows.select("fingerprint", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
@@ -193,15 +206,29 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, id
     space = Workspace(docs.sparkSession, "simhash")
     rows = space.save(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "rows")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")  # null ids come last
-    prints = space.save(rows.groupBy("fingerprint").agg(F.min(own).alias("least")), "prints")
-    groups = ["band", "key", "i", "j"]
-    dealt = _dealt(prints, choice(prints.count(), radius), part, space)
-    dealt = dealt.repartition(*groups).sortWithinPartitions(*groups, "side", "fingerprint")
-    joined = components(map_rows(dealt, _links(radius), "a long,b long"), space)
-    of = prints.join(joined, prints.fingerprint == joined.a, "left").select("fingerprint", "least", F.coalesce("b", "fingerprint").alias("class"))
-    named = of.groupBy("class").agg(F.min("least").alias("first"))
-    named = space.save(of.join(named, "class").select("fingerprint", "first"), "named")
-    return rows.join(named, "fingerprint").select(
+    prints = space.save(rows.groupBy("fingerprint").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n")), "prints")
+    total = prints.count()
+    joined = links(prints, choice(total, radius), radius, part, total, space)
+    joined = components(joined, space)
+    named = space.save(name_classes(prints, joined, "fingerprint", total, space), "named")
+    return join_by_key(rows, named, "fingerprint", rows.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"),
         (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))).alias("kept"), "text_key",
     )
+
+
+def links(prints: DataFrame, masks: list[int], radius: int, part: int, total: int, space: Workspace) -> DataFrame:
+    """a, b: links that join fingerprints within the radius; no more in a block than it has fingerprints."""
+    groups = ["band", "key", "i", "j"]
+    dealt = _dealt(prints, masks, part, total * len(masks), space)
+    dealt = dealt.repartition(*groups).sortWithinPartitions(*groups, "side", "fingerprint")
+    return map_rows(dealt, _links(radius), "a long,b long")
+
+
+def name_classes(nodes: DataFrame, joined: DataFrame, node: str, total: int, space: Workspace) -> DataFrame:
+    """node, first, n, class_rows: nodes (with least and n, their rows), the smallest `least` of all that links join with
+    each, and the rows of these."""
+    of = nodes.join(joined.withColumnRenamed("a", node), node, "left").select(node, "least", F.coalesce("b", node).alias("class"), F.col("n").alias("rows"))
+    of = space.save(of, "of")
+    first = of.groupBy("class").agg(F.min("least").alias("first"), F.sum("rows").alias("class_rows"), F.count(F.lit(1)).alias("n"))
+    return join_by_key(of, first, "class", total).select(node, "first", F.col("rows").alias("n"), "class_rows")
