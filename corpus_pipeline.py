@@ -7,7 +7,7 @@ their texts where they differ.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontaminate, exact, quality, shingles
@@ -15,49 +15,44 @@ from textloom.llm.common import Workspace, free_name, table
 from textloom.llm.queries import vocabulary
 
 
-def _only(docs: DataFrame, keep: DataFrame, text_key: Column) -> DataFrame:
-    """Rows of docs that keep has by doc_id and text_key (which tells apart texts of one id), each once."""
-    own, key = free_name(docs, "own_id"), free_name(docs, "own_key")
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    keep = keep.select(name(F.col("doc_id")).alias(own), F.col("text_key").alias(key))
-    found = docs.withColumns({own: name(F.col("doc_id")), key: text_key}).join(keep, [own, key], "left_semi")
-    return found.dropDuplicates([own, key]).select(*docs.columns)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; a document that it rejects goes."""
+    """Documents that the quality classifier accepts; a document that it rejects goes. A null text is scored as an empty
+    one, and rows that repeat share their fate."""
     name = free_name(docs, "score")
     scored = quality.append_score(docs, table(spark, sf_dir, "labels"), name)
     return scored.where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    keep = exact.groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("text_key"))
-    return _only(docs, keep, F.sha2(F.coalesce("text", F.lit("")), 256))
+    """Of equal texts, the document with the largest id; a null text is an empty one, a null id the smallest, and of
+    rows that repeat an id with its text one stays."""
+    copies = exact.groups(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias("text_key"), "kept")
+    return exact.keep_rows(docs, copies, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by 5-word shingles of similarity 0.8 or more, the one with the smallest id."""
-    return _only(docs, shingles.classes(docs).where("kept"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    """Of each class of documents linked by 5-word shingles of similarity 0.8 or more, the one with the smallest id; a
+    null text is an empty one and these are alike, a null id comes last, and rows that repeat are copies."""
+    copies = shingles.classes(docs).where("size > 1").select("doc_id", "text_key", "kept")
+    return exact.keep_rows(docs, copies, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; null and empty texts have none, and rows that repeat share their fate."""
     name = free_name(docs, "hits")
     found = decontaminate.append_hits(docs, table(spark, sf_dir, "benchmark"), name)
     return found.where(F.col(name) == 0).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left, a row each; a null text is an empty one."""
     return bpe.digests(docs, vocabulary())
 
 
 STAGES = [
     ("quality classifier", keep_quality),
     ("exact dedup", drop_exact_copies),
-    ("shingle near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("BPE encoding and decoding", token_ids),
 ]
