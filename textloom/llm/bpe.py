@@ -18,7 +18,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import PieceEncoder, id_text, map_rows, native_path
+from textloom.llm.common import PieceEncoder, claim, id_text, map_rows, native_path
 
 #: Pre-tokenization of byte-level BPE with contractions of English; fixed value of the file format ("use_regex").
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -167,7 +167,7 @@ class BpeModel:
 def model(path: str) -> tuple[BpeModel, PieceEncoder]:
     """One to a Python worker."""
     found = BpeModel(path)
-    return found, PieceEncoder(found.encode_batch, found.encode_words)
+    return found, PieceEncoder(found.encode_batch, found.encode_words, most=200_000)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,6 +178,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        claim("bpe", model.cache_clear)
         bpe, chunks = model(path)
         for x in batches:
             ids = chunks(x["text"])
@@ -190,6 +191,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, made where the ids are so that they needn't travel."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        claim("bpe", model.cache_clear)
         bpe, chunks = model(path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for x in batches:

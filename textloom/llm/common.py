@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import zlib
@@ -129,6 +131,26 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+_clear: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None] | None = None) -> None:
+    """What the operator `name` remembers in this Python worker stays, what others do goes: Spark uses a worker for one
+    stage after another, and an executor's memory shouldn't hold the caches of all."""
+    if name in _clear and len(_clear) == 1:
+        return
+    for other in [x for x in _clear if x != name]:
+        _clear.pop(other)()
+    _clear[name] = clear or (lambda: None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+_libc = ctypes.CDLL(None)
+
+
 def append(df: DataFrame, text_col: str, start: Callable[[], Callable[[list[str]], list]], name: str, kind: str) -> DataFrame:
     """df with one more column made from its texts (a null text is empty), row by row in place: nothing is shuffled.
 

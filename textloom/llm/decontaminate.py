@@ -17,7 +17,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD_BYTES, Workspace, append, id_text, map_rows
+from textloom.llm.common import WORD_BYTES, Workspace, append, claim, id_text, map_rows
 
 #: Words of one item in a window.
 WINDOW = 10
@@ -211,6 +211,7 @@ _kept: list = [None, None]
 
 def _windows(block: list[tuple[str | None, str]], window: int) -> Windows:
     """A Python worker keeps the last automaton that it has built."""
+    claim("decontaminate", lambda: _kept.__setitem__(slice(None), [None, None]))
     key = hashlib.sha256(repr((block, window)).encode()).digest()
     if _kept[0] != key:
         _kept[:] = [key, Windows(block, window)]

@@ -70,7 +70,7 @@ def compact(level: DataFrame, rows: int, runs: int, fanin: int = FANIN) -> DataF
     return alone.unionByName(merged)
 
 
-def _sieved(rows: DataFrame, hits: DataFrame, many: int, name: str, digest: str = "digest") -> DataFrame:
+def sieved(rows: DataFrame, hits: DataFrame, many: int, name: str, digest: str = "digest") -> DataFrame:
     """rows (with digest) and whether the hits' filter (of `many` digests, repeats included) doesn't rule them out."""
     bits = min(MOST_HIT_BITS, _power(many * HIT_BITS, ROW_BITS))
     at = _position(F.col(digest), bits)
@@ -84,7 +84,7 @@ def keep_rows(docs: DataFrame, contested: DataFrame, text_key: Column, *, id_col
     """docs without the rows that `contested` (doc_id, text_key, kept) gives up; of equal ids with equal keys one stays.
 
     Rows that aren't contested stay where they lie, and only texts of those that may be are shuffled: the filter of
-    `_sieved` tells them apart, and what it lets pass by mistake finds no partner and stays.
+    `sieved` tells them apart, and what it lets pass by mistake finds no partner and stays.
     """
     for_digest = lambda i, key: F.sha2(F.concat_ws("\t", F.coalesce(i.cast("string"), F.lit("none")), key.cast("string")), 256)
     own, known, maybe, kept = (free_name(docs, x) for x in ("digest", "known", "maybe", "kept"))
@@ -92,7 +92,7 @@ def keep_rows(docs: DataFrame, contested: DataFrame, text_key: Column, *, id_col
     decided = contested.groupBy(F.unhex(for_digest(F.col("doc_id"), F.col("text_key"))).alias("digest")).agg(F.max("kept").alias("kept"))
     decided = space.save(decided, "decided")
     rows = docs.withColumn(own, F.unhex(for_digest(F.col(id_col), text_key)))
-    rows = _sieved(rows, decided, decided.count(), maybe, own)
+    rows = sieved(rows, decided, decided.count(), maybe, own)
     some = rows.where(maybe).dropDuplicates([own]).join(decided.select(F.col("digest").alias(known), F.col("kept").alias(kept)), F.col(own) == F.col(known), "left")
     return rows.where(~F.col(maybe)).select(*docs.columns).unionByName(some.where(F.coalesce(F.col(kept), F.lit(True))).select(*docs.columns))
 
@@ -118,7 +118,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         level, height, runs = space.save(merged.sortWithinPartitions("run", "digest"), f"level{height + 1}"), height + 1, -(-runs // fanin)
         space.drop(f"level{height - 1}")
     hits = space.save(level.where("n > 1").drop("run"), "hits")
-    texts = _sieved(base.select("text", F.unhex(F.sha2("text", 256)).alias("digest")), hits, hits.count(), "hit").where("hit")
+    texts = sieved(base.select("text", F.unhex(F.sha2("text", 256)).alias("digest")), hits, hits.count(), "hit").where("hit")
     seen = texts.groupBy("digest").agg(F.min("text").alias("first"), F.max("text").alias("last"))
     apart = space.save(seen.where("first <> last").select("digest"), "collisions")
     return _result(keyed, hits, apart, base, space, own, rows)

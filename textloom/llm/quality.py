@@ -9,6 +9,7 @@ neighbours over all documents. A document is the mean of its units' vectors, a s
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Workspace, append, fold_col, id_text, map_rows
+from textloom.llm.common import Workspace, append, claim, fold_col, id_text, map_rows
 
 #: Words that are units of their own, units of all other words, of shapes and of repeats.
 VOCABULARY, BUCKETS, SHAPES, REPEATS = 16_384, 2048, 960, 64
@@ -55,12 +56,19 @@ class _Kinds(dict):
 _kinds = _Kinds()
 
 
+#: A word of Latin letters, small but for the first, and marks after it.
+_PLAIN = re.compile(r"([A-ZÀ-ÖØ-Þ])?[a-zß-öø-ÿ]+([!-/:-@\[-`{-~]*)")
+
+
 def shape(token: str) -> str:
     """Kinds of all its characters, runs of letters once, and the length, roughly."""
-    kinds = token.translate(_kinds)
-    for c in "Aa0o":
-        while c + c in kinds:
-            kinds = kinds.replace(c + c, c)
+    if m := _PLAIN.fullmatch(token):  # as below, but at once
+        kinds = ("Aa" if m[1] else "a") + m[2]
+    else:
+        kinds = token.translate(_kinds)
+        for c in "Aa0o":
+            while c + c in kinds:
+                kinds = kinds.replace(c + c, c)
     n = len(token)
     return f"{kinds}{n if n < 4 else 4 if n < 9 else 5 if n < 16 else 6 if n < 32 else 7}"
 
@@ -124,13 +132,17 @@ class Reader:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units of all tokens: words (below WORDS), shapes and repeats (below FORMS)."""
         tokens = text.split()
-        known, packed = self.known, self._packed
+        known = self.known
         if len(known) > self.most:
             known.clear()
-        for t in set(tokens).difference(known):
-            known[t] = packed(t)
+        codes = list(map(known.get, tokens))
+        if None in codes:
+            for i, c in enumerate(codes):
+                if c is None:
+                    t = tokens[i]
+                    codes[i] = known[t] if t in known else known.setdefault(t, self._packed(t))
         n = len(tokens)
-        code = np.fromiter(map(known.__getitem__, tokens), np.int64, n)
+        code = np.array(codes, np.int64)
         # how long ago a word stood, and whether the word before it stood there then too
         of = code >> 26
         order = np.argsort(of, kind="stable")
@@ -225,6 +237,7 @@ _kept: list = [None, None]
 
 def _reader(number: dict[int, int]) -> Reader:
     """A Python worker keeps the tokens that it knows while the vocabulary is the same."""
+    claim("quality", lambda: _kept.__setitem__(slice(None), [None, None]))
     if _kept[0] != number:
         _kept[:] = [number, Reader(number)]
     return _kept[1]

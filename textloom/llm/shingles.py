@@ -20,11 +20,12 @@ from math import ceil, log, log2
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Workspace, id_text, join_by_key, map_rows
+from textloom.llm.common import Workspace, claim, id_text, join_by_key, map_rows
 from textloom.llm.components import components
+from textloom.llm.exact import sieved
 from textloom.llm.simhash import SEED, _join, hashes, majority, name_classes, near, words
 
 SHINGLE, LEAST = 5, 0.8
@@ -71,6 +72,11 @@ def layout(rows: int) -> tuple[int, int]:
     return bits, ceil(log(MISS) / log(1 - AGREE**bits))
 
 
+def words_of(bits: int, many: int) -> int:
+    """How many fingerprints the bands need; a band lies within one. The comparison needs two."""
+    return max(2, -(-many // (64 // bits)))
+
+
 def _mixers(n: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=n) * np.uint64(2) + np.uint64(1)
 
@@ -84,32 +90,32 @@ def fingerprints(own: np.ndarray, n: int) -> list[int]:
     return out or [0] * n
 
 
-def bands(prints: list[int], bits: int, many: int) -> list[int]:
-    """A key for each band: its number and its bits."""
-    pool, mask = sum(x << 64 * i for i, x in enumerate(prints)), (1 << bits) - 1
-    return [b << 48 | pool >> b * bits & mask for b in range(many)]
+def band_key(prints: Column, band: int, bits: int) -> Column:
+    """A band's number and its bits."""
+    word, at = divmod(band, 64 // bits)
+    return F.lit(band << 48) + F.shiftrightunsigned(prints[word], at * bits).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _rows(docs: DataFrame, shingle: int, least: float, bits: int, many: int) -> DataFrame:
-    """doc_id, text_key, node, n, first and second fingerprint, keys of the bands, and the shingles of small sets."""
+def _rows(docs: DataFrame, shingle: int, least: float, many: int) -> DataFrame:
+    """doc_id, text_key, node, n, its `many` fingerprints, and the shingles of small sets."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        claim("shingles")
         for x in batches:
             sets = [shingles(t, shingle) for t in x["text"]]
-            prints = [fingerprints(s, max(2, -(-bits * many // 64))) for s in sets]
-            first = np.array([p[:2] for p in prints], np.uint64).reshape(-1, 2).view(np.int64)
             yield {
-                "doc_id": x["doc_id"], "text_key": x["text_key"], "node": [node(s) for s in sets], "n": [len(s) for s in sets], "first": first[:, 0], "second": first[:, 1],
-                "keys": [bands(p, bits, many) if len(s) > SMALL else [] for p, s in zip(prints, sets, strict=True)],
+                "doc_id": x["doc_id"], "text_key": x["text_key"], "node": [node(s) for s in sets], "n": [len(s) for s in sets],
+                "prints": [np.array(fingerprints(s, many), np.uint64).view(np.int64) for s in sets],
                 "small": [s if len(s) * least <= SMALL else [] for s in sets],
             }
 
-    return map_rows(docs, run, "doc_id long,text_key long,node long,n long,first long,second long,keys array<long>,small array<long>")
+    return map_rows(docs, run, "doc_id long,text_key long,node long,n long,prints array<long>,small array<long>")
 
 
-def _near_in_bands(nodes: DataFrame, total: int, space: Workspace) -> DataFrame:
+def _near_in_bands(nodes: DataFrame, bits: int, many: int, total: int, space: Workspace) -> DataFrame:
     """a, b: stars of the nodes that a band's bits bring together and that are near by their fingerprints."""
-    rows = nodes.select("node", "first", "second", F.explode("keys").alias("key"))
+    keys = F.array(*[band_key(F.col("prints"), b, bits) for b in range(many)])
+    rows = nodes.where(F.col("n") > SMALL).select("node", F.col("prints")[0].alias("first"), F.col("prints")[1].alias("second"), F.explode(keys).alias("key"))
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     full = space.save(full.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "n"), "full")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
@@ -244,16 +250,19 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST, id
     space, after = Workspace(docs.sparkSession, "shingles"), Workspace(docs.sparkSession, "shingle_links")
     texts = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     many = texts.count()
-    rows = space.save(_rows(texts, shingle, least, *layout(many)), "rows")
+    bits, bands = layout(many)
+    rows = space.save(_rows(texts, shingle, least, words_of(bits, bands)), "rows")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    about = [F.first(c).alias(c) for c in ("n", "first", "second", "keys", "small")]  # of equal sets these are equal
+    about = [F.first(c).alias(c) for c in ("n", "prints", "small")]  # of equal sets these are equal
     nodes = space.save(rows.groupBy("node").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("rows"), *about), "nodes")
-    found = components(_near_in_bands(nodes, many, space).unionByName(_near_by_shingles(nodes, least, space)), space)
+    found = components(_near_in_bands(nodes, bits, bands, many * bands, space).unionByName(_near_by_shingles(nodes, least, space)), space)
     of = found.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct())
     named = nodes.join(of, "node").select("node", "class", "n", F.col("least.doc_id").alias("own_id"), F.col("least.text_key").alias("own_key"))
-    # the text of one row of each node that has candidates
-    same = (texts.text_key == named.own_key) & texts.doc_id.eqNullSafe(named.own_id)
-    members = space.save(texts.join(named, same).select("node", "class", "n", "text").dropDuplicates(["node"]), "members")
+    # the text of one row of each node that has candidates; other texts stay where they are
+    pair = lambda i, key: F.sha2(F.concat_ws("\t", F.coalesce(i.cast("string"), F.lit("none")), key.cast("string")), 256)
+    named = space.save(named.select("node", "class", "n", F.unhex(pair(F.col("own_id"), F.col("own_key"))).alias("digest")), "candidates")
+    some = sieved(texts.withColumn("digest", F.unhex(pair(F.col("doc_id"), F.col("text_key")))), named, named.count(), "maybe").where("maybe")
+    members = space.save(some.dropDuplicates(["digest"]).join(named, "digest").select("node", "class", "n", "text"), "members")
     dealt = _dealt(members, part).repartition("class", "i", "j").sortWithinPartitions("class", "i", "j", "side", "node")
     joined = components(map_rows(dealt, _verified(shingle, least), "a long,b long"), after)
     total = nodes.count()
