@@ -99,13 +99,15 @@ def test_distil_equals_the_one_pass(spark):
     for r in docs.collect():
         assert distil(r.text, 0.3) == got.get(r.doc_id, r.text)
     long = spark.createDataFrame([("A b. " * 500,), ("short. text",)], "text string")
+    assert distill.distil(spark.createDataFrame([(1, None), (2, ""), (3, "a. " * 4)], "doc_id long, text string")).count() == 0
     assert [len(r.summary) for r in distill.first_sentences(long).collect()] == [pytest.approx(749, abs=160), 11]
 
 
 def test_recall(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in recall.top_k(rows, [1.0, 0.0], 4).collect()] == [1, 4, 3, 2]
-    assert recall.top_k_for_each(rows, rows.limit(3), 2, block=2).count() == 6
+    near = recall.nearest(rows, rows.where("vec_id < 4"), 2).collect()
+    assert sorted((r.query_id, r.place, r.vec_id) for r in near) == [(1, 1, 1), (1, 2, 4), (2, 1, 1), (2, 2, 2), (3, 1, 3), (3, 2, 1)]
 
 
 def test_repository(spark):

@@ -95,16 +95,22 @@ def sentences(text: str) -> list[str]:
     return re.findall(r"[^.!?]+[.!?]+", text)
 
 
-def distil(text: str, ratio: float) -> str:
-    """The share of sentences with the highest sums of tf-idf, in their order."""
+def best_sentences(text: str, ratio: float) -> list[str] | None:
+    """The share of sentences with the highest sums of tf-idf, in their order; None for a text with too little of them."""
     own = sentences(text)
     if length16(text) < 500 or len(own) < 5:
-        return text
+        return None
     bags = [Counter(w for w in re.findall(r"\w+", s.lower(), re.ASCII) if w not in dicts.STOP_WORDS) for s in own]
     held = Counter(w for b in bags for w in b)
     score = [round(sum(n * log(len(own) / held[w]) for w, n in b.items()), 9) for b in bags]
     best = sorted(range(len(own)), key=lambda i: (-score[i], i))[: max(1, ceil(len(own) * ratio))]
-    return " ".join(trim(own[i]) for i in sorted(best))
+    return [trim(own[i]) for i in sorted(best)]
+
+
+def distil(text: str, ratio: float) -> str:
+    """Those sentences, or the text as it is."""
+    best = best_sentences(text, ratio)
+    return text if best is None else " ".join(best)
 
 
 def slim_stack_trace(text: str) -> str:

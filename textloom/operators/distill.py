@@ -1,43 +1,35 @@
-"""Extractive summaries: the sentences with the highest tf-idf sums, as a plan over sentences and words."""
+"""Extractive summaries: the sentences with the highest tf-idf sums. A sentence's words are weighed against its own
+document alone, so every document is summarised where it lies and nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from textloom.functions import dicts
-from textloom.functions.text import length16, trim
+from collections.abc import Iterator
 
-LEAST_LENGTH, LEAST_SENTENCES = 500, 5
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from textloom.functions import onepass
+from textloom.functions.text import length16
+from textloom.runtime import ship
 
-def sentences(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, idx, sentence, n_sentences; a tail without an end mark is none. Short texts give no rows."""
-    own = F.regexp_extract_all(F.col(text_col), F.lit(r"([^.!?]+[.!?]+)"), F.lit(1))
-    cut = df.where(length16(F.col(text_col)) >= LEAST_LENGTH).select(F.col(id_col).alias("doc_id"), own.alias("own"))
-    return cut.where(F.size("own") >= LEAST_SENTENCES).select("doc_id", F.posexplode("own").alias("idx", "sentence"), F.size("own").alias("n_sentences"))
 
+def distil(df: DataFrame, ratio: float = 0.3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_kept, distilled: the best share of the sentences (ties: the earlier one), in their order.
 
-def scores(rows: DataFrame) -> DataFrame:
-    """rows of sentences() with `score`: the sum of tf x ln(sentences / sentences with the word), to nine places.
-
-    Words are counted in each sentence first. The rows of one document meet once, for document frequencies.
+    Null texts and those with too few sentences give no row; rows that repeat give one each.
     """
-    found = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit(r"([A-Za-z0-9_]+)"), F.lit(1)), lambda w: ~w.isin(*dicts.STOP_WORDS))
-    words = rows.select("doc_id", "idx", "n_sentences", F.explode(found).alias("word"))
-    tf = words.groupBy("doc_id", "word", "idx", "n_sentences").agg(F.count(F.lit(1)).alias("tf"))
-    df = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "word"))
-    part = tf.withColumn("part", F.col("tf") * F.log(F.col("n_sentences") / df))
-    sums = part.groupBy("doc_id", "idx").agg(F.round(F.sum("part"), 9).alias("score"))
-    return rows.join(sums, ["doc_id", "idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    ship(df.sparkSession)
+    own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [onepass.best_sentences(t, ratio) for t in batch.column("text").to_pylist()]
+            rows = [i for i, x in enumerate(best) if x is not None]
+            ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(best[i]) for i in rows], pa.int64()), pa.array([" ".join(best[i]) for i in rows], pa.string())], ["doc_id", "n_kept", "distilled"])
 
-def distil(df: DataFrame, ratio: float = 0.3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_kept, distilled: the best share of the sentences (ties: the earlier one), in their order."""
-    ranked = scores(sentences(df, id_col=id_col, text_col=text_col)).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "idx")))
-    kept = ranked.where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n_sentences") * ratio)))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", trim(F.col("sentence")).alias("s")))), lambda x: x.s)
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.array_join(ordered, " ").alias("distilled"))
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_kept long, distilled string")
 
 
 def first_sentences(df: DataFrame, ratio: float = 0.3, *, least: int = 2000, text_col: str = "text", out: str = "summary") -> DataFrame:

@@ -253,19 +253,24 @@ _TOKENS = "SELECT {id} AS id, list_distinct(string_split_regex(text, '\\s+')) AS
 
 @query
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different documents with similar token sets, one row for each pair of representatives of equal sets."""
+    """Links between classes of documents with equal token sets, by their smallest ids (id_a < id_b), and with kind
+    `member` each document (id_b) with its class (id_a): what is similar to a class is similar to all its members."""
     docs = documents(spark, sf_dir)
-    key = F.sha2(F.to_json(F.array_sort(dedup.tokens(F.col("text")))), 256)
-    one = docs.groupBy(key.alias("key")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("d.doc_id", "d.text")
-    found = dedup.similar_pairs(one, one, 0.8).where("id_a < id_b")
-    return found.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+    members = dedup.equal_sets(docs)
+    one = docs.join(members.where("rep_id = id").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    found = dedup.similar_pairs(one, one, 0.8)
+    links = found.select(F.lit("link").alias("kind"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
+    return links.unionByName(members.select(F.lit("member").alias("kind"), F.col("rep_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")))
 
 
 _SQL["jaccard_pairs"] = f"""
-WITH d AS (SELECT min(id) AS id, any_value(s) AS s FROM (SELECT id, list_sort(s) AS s FROM ({_TOKENS.format(id='doc_id', t='documents')})) GROUP BY s),
+WITH a AS ({_TOKENS.format(id='doc_id', t='documents')}),
+d AS (SELECT min(id) AS id, any_value(s) AS s FROM (SELECT id, list_sort(s) AS s FROM a) GROUP BY s),
 w AS (SELECT id, len(s) AS n, unnest(s) AS w FROM d),
 c AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b, round(k / (n + m - k), 6) AS similarity FROM c WHERE k / (n + m - k) >= 0.8"""
+SELECT 'link' AS kind, id_a, id_b, round(k / (n + m - k), 6) AS similarity FROM c WHERE k / (n + m - k) >= 0.8
+UNION ALL SELECT 'member', min(id) OVER (PARTITION BY list_sort(s)), id, 1.0 FROM a
+UNION ALL SELECT 'member', doc_id, doc_id, 1.0 FROM documents WHERE text IS NULL OR length(text) > 50000"""
 
 
 @query
