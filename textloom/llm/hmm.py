@@ -254,39 +254,40 @@ def likelihood(model: Model, sequences: list[np.ndarray], block: int = BLOCK) ->
 
 def expected(model: Model, sequences: list[np.ndarray], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of whole sequences: states at their starts, steps between states, symbols by state; and the
-    log10 likelihood. Only a group of pieces is held at a time, however long a sequence is."""
+    log10 likelihood. Steps are taken in single precision (they are scaled, so errors don't grow with a text's length) and
+    summed up in double. Only a group of pieces is held at a time, however long a sequence is."""
     k, size = len(model.start), len(model.emit)
     starts, steps, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
-    one, back, x = np.ones(k), model.step.T.copy(), lanes(model, sequences, block)
+    x, step, emit = lanes(model, sequences, block), model.step.astype(np.float32), model.emit.astype(np.float32)
+    one, back = np.ones(k, np.float32), step.T.copy()
     for own, table, going in _abreast(x.pieces):
         span, width = table.shape
-        alpha, scales = np.zeros((span, width, k)), np.ones((span, width, 1))
-        beta = x.after[own]
-        a = _entered(model, x, own) * model.emit[table[0]]
+        alpha, scales = np.zeros((span, width, k), np.float32), np.ones((span, width, 1), np.float32)
+        beta = x.after[own].astype(np.float32)
+        a = _entered(model, x, own).astype(np.float32) * emit[table[0]]
         for t in range(span):
             n = going[t]
             if t:
-                a = (a[:n] @ model.step) * model.emit[table[t, :n]]
+                a = (a[:n] @ step) * emit[table[t, :n]]
             scales[t, :n, 0] = scale = a @ one
             a = a / scale[:, None]
             alpha[t, :n] = a
-        total += float(np.log10(scales).sum())
+        total += float(np.log10(scales.astype(np.float64)).sum())
         ends = alpha[np.array([len(x.pieces[i]) for i in own]) - 1, np.arange(width)]
         beta /= (ends * beta).sum(axis=1, keepdims=True)
         for t in range(span - 1, -1, -1):
             n = going[t]
             if t + 1 < span:
                 m = going[t + 1]
-                e = model.emit[table[t + 1, :m]] * beta[:m] / scales[t + 1, :m]
+                e = emit[table[t + 1, :m]] * beta[:m] / scales[t + 1, :m]
                 beta[:m] = e @ back
                 steps += alpha[t, :m].T @ e
             alpha[t, :n] *= beta[:n]  # from here on the states' probabilities
         later = ~x.first[own]
-        steps += x.before[own][later].T @ (model.emit[table[0]] * beta / scales[0])[later]
-        starts += alpha[0][~later].sum(axis=0)
-        flat = table.ravel()
-        for j in range(k):
-            emits[:, j] += np.bincount(flat, alpha[:, :, j].ravel(), size)
+        steps += x.before[own][later].T @ (emit[table[0]] * beta / scales[0])[later]
+        starts += alpha[0][~later].sum(axis=0, dtype=np.float64)
+        at = (table[:, :, None] * k + np.arange(k)).ravel()
+        emits += np.bincount(at, alpha.ravel(), size * k).reshape(size, k)
     return starts, steps * model.step, emits, total
 
 
