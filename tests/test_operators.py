@@ -39,6 +39,10 @@ def test_similar_pairs_against_all_pairs(spark):
         sets = [None if t is None else set(__import__("re").split(r"\s+", t)) for t in texts]
         want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if a is not None and b is not None and len(a & b) / len(a | b) >= threshold}
         assert got == want
+        half = [tuple(sorted((x.id_a, x.id_b))) for x in dedup.similar_pairs(df, df, threshold, once=True).collect()]
+        assert len(half) == len(set(half)) and set(half) == {(i, j) for i, j in want if i < j and sets[i] != sets[j]}
+    members = {x.id: x.rep_id for x in dedup.equal_sets(df).collect()}
+    assert members == {i: next(j for j, b in enumerate(sets) if b == a and (a is not None or i == j)) for i, a in enumerate(sets)}
 
 
 def test_replay_and_stream_agree(spark, tmp_path):

@@ -258,7 +258,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     members = dedup.equal_sets(docs)
     one = docs.join(members.where("rep_id = id").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    found = dedup.similar_pairs(one, one, 0.8)
+    found = dedup.similar_pairs(one, one, 0.8, once=True)
     links = found.select(F.lit("link").alias("kind"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
     return links.unionByName(members.select(F.lit("member").alias("kind"), F.col("rep_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")))
 
