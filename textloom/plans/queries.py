@@ -16,7 +16,7 @@ from textloom.functions import dicts, redact, reduce, shield
 from textloom.functions.languages import detect_language
 from textloom.functions.lexical import lexical
 from textloom.functions.text import estimate_tokens, length16
-from textloom.operators import dedup, diff, distill, levels, recall, repository, search, session
+from textloom.operators import cache, dedup, diff, distill, levels, recall, repository, search, session
 from textloom.operators.compress import at_all_levels, compress, savings
 from textloom.plans import sql
 from textloom.sources import files, messages, pages
@@ -636,6 +636,111 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, "conversations", lambda s: mark_duplicates(s, "conv_id", "turn"))
 
 
+# --- caches, readings, answers -----------------------------------------------------------------------------------
+
+#: Keys are a hundred for each type of event, so a whole cache would hold all of them.
+_CAPACITY = 60
+
+
+@query
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests; each type has a cache."""
+    return cache.replay(table(spark, sf_dir, "events"), "event_type", "event_id", "props", capacity=_CAPACITY)
+
+
+_SQL["cache_replay"] = f"""
+WITH e AS (SELECT event_type, event_id, props, lag(event_id) OVER (PARTITION BY event_type, props ORDER BY event_id) AS p FROM events)
+SELECT e.event_type, e.event_id, e.p IS NOT NULL AND count(x.event_id) < {_CAPACITY} AS hit
+FROM e LEFT JOIN e x ON x.event_type = e.event_type AND x.event_id > e.p AND x.event_id < e.event_id AND coalesce(x.p < e.p, true) GROUP BY e.event_type, e.event_id, e.p"""
+
+
+@query
+def cache_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.held(table(spark, sf_dir, "events"), "event_type", "event_id", "props", capacity=_CAPACITY)
+
+
+_SQL["cache_held"] = f"""
+SELECT event_type, props, max(event_id) AS last_used, row_number() OVER (PARTITION BY event_type ORDER BY max(event_id) DESC) AS place FROM events GROUP BY event_type, props QUALIFY place <= {_CAPACITY}"""
+
+
+@query
+def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as readings of one file: first letters and roles, which come again."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.substring("text", 1, 1), F.lit("\n"), "role"))
+    return cache.read_files(turns, "conv_id", "turn")
+
+
+_SQL["read_files"] = f"""
+WITH r AS (SELECT conv_id, turn, text[1:1] || chr(10) || role AS x FROM conversations),
+f AS (SELECT *, first_value(x) OVER (PARTITION BY conv_id ORDER BY turn) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM r),
+o AS (SELECT *, coalesce(last_value(CASE WHEN x <> c THEN x END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c) AS old FROM f),
+d AS (SELECT *, CASE WHEN k = 1 THEN 'compressed' WHEN x = c THEN 'cached' WHEN x = old THEN 'unchanged' ELSE 'changed' END AS kind,
+  {_CHANGES.format(x="string_split(old, chr(10))", y="string_split(x, chr(10))", test="string_split(old, chr(10))[i] <> string_split(x, chr(10))[i]")} AS d FROM o)
+SELECT conv_id, turn, kind, CASE kind WHEN 'unchanged' THEN '[FILE UNCHANGED]' WHEN 'changed' THEN '[DIFF-ONLY: ' || len(d) || ' changes]' || chr(10) || array_to_string(d, chr(10)) ELSE x END AS shown FROM d"""
+
+
+@query
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of even users as requests, of odd ones as answers; props are the ids."""
+    return cache.answers(table(spark, sf_dir, "events"), "event_type", "props", "event_id", is_request=F.col("user_id") % 2 == 0)
+
+
+_SQL["answered_requests"] = """
+WITH e AS (SELECT *, max(CASE WHEN user_id % 2 = 0 THEN event_id END) OVER w AS q, max(CASE WHEN user_id % 2 <> 0 THEN event_id END) OVER w AS a FROM events
+WINDOW w AS (PARTITION BY event_type, props ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_type, props, event_id, CASE WHEN a IS NULL OR q > a THEN q END AS asked FROM e WHERE user_id % 2 <> 0"""
+
+
+@query
+def screen_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: users that divide by ten are unknown; some texts are empty or too long."""
+    text = F.when(F.col("event_id") % 50 == 0, "").when(F.col("event_id") % 97 == 0, F.repeat(F.lit("x"), session.LONGEST_REQUEST + 1)).otherwise(F.col("props"))
+    return session.screen(table(spark, sf_dir, "events").withColumn("text", text), "user_id", "ts", F.col("user_id") % 10 != 0, limit=2, width=3_600_000)
+
+
+_SQL["screen_requests"] = f"""
+WITH r AS ({_SQL["rate_limit"]})
+SELECT event_id, user_id, CASE WHEN user_id % 10 = 0 THEN 401 WHEN status = 429 THEN 429 WHEN event_id % 50 = 0 THEN 400 WHEN event_id % 97 = 0 THEN 413 ELSE 200 END::INTEGER AS status FROM r"""
+
+
+@query
+def memory_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of the vectors remembered last, to the first of all."""
+    memory = table(spark, sf_dir, "embeddings")
+    first = memory.orderBy("vec_id").first()
+    found = recall.top_k(recall.remembered(memory, "vec_id"), list(first["embedding"]) if first else [], 10)
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+_SQL["memory_latest"] = f"""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1), m AS (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT {recall.MOST})
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM m, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10"""
+
+
+@query
+def code_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fenced code: sentences are lines, empty ones between them."""
+    code = F.concat(F.lit("intro\n```js\n  "), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(". "), F.lit(".\n \n    ")), F.lit("\n```\n  rest"))
+    return documents(spark, sf_dir).select("doc_id", reduce.strip_code_whitespace(code).alias("text"))
+
+
+_SQL["code_whitespace"] = r"""
+WITH l AS (SELECT doc_id, list_filter(string_split('  ' || replace(replace(text, chr(10), ' '), '. ', '.' || chr(10) || ' ' || chr(10) || '    '), chr(10)), lambda x: regexp_matches(x, '[^\s\x{feff}\pZ]')) AS x FROM documents),
+m AS (SELECT doc_id, x, list_min(list_transform(x, lambda s: length(regexp_extract(s, '^[\s\x{feff}\pZ]*')))) AS n FROM l)
+SELECT doc_id, 'intro' || chr(10) || '```js' || chr(10) || array_to_string(list_transform(x, lambda s: s[n + 1:]), chr(10)) || chr(10) || '```' || chr(10) || '  rest' AS text FROM m"""
+
+
+@query
+def stream_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one user, requests (views) with the purchases that follow, as two streams."""
+    from textloom.streaming.state import answered
+
+    pairs = lambda s: answered(s.where("event_type = 'view'"), s.where("event_type = 'purchase'"), "user_id", "ts", within="6 hours")
+    return _streamed(spark, sf_dir, "events", lambda s: pairs(s).select("user_id", *[F.col(x).cast("timestamp_ntz").alias(x) for x in ("asked_at", "answered_at")]))
+
+
+_SQL["stream_answered"] = """SELECT a.user_id, a.ts AS asked_at, b.ts AS answered_at FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 hours"""
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

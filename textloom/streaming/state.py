@@ -69,6 +69,15 @@ def windowed_counts(events: DataFrame, time: str, by: str, *, width: str = "5 mi
     return events.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
+def answered(requests: DataFrame, responses: DataFrame, id_col: str, time: str, *, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """id, asked_at, answered_at: a stream-stream join of requests with responses that follow within some time; both
+    sides' watermarks let rows go that can't meet any more."""
+    asked = requests.select(F.col(id_col).alias("id"), F.col(time).cast("timestamp").alias("asked_at")).withWatermark("asked_at", late)
+    told = responses.select(F.col(id_col).alias("answered_id"), F.col(time).cast("timestamp").alias("answered_at")).withWatermark("answered_at", late)
+    meet = F.expr(f"id = answered_id AND answered_at >= asked_at AND answered_at <= asked_at + INTERVAL {within}")
+    return asked.join(told, meet).select(F.col("id").alias(id_col), "asked_at", "answered_at")
+
+
 def run_to_end(stream: DataFrame, to: str, checkpoint: str) -> None:
     """All that is there now, in append mode, as a Parquet table."""
     stream.writeStream.outputMode("append").format("parquet").option("path", to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
