@@ -119,7 +119,8 @@ def tree(files: DataFrame, depth: int = 3) -> DataFrame:
     parts = F.split("path", "/")
     folders = own.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))).alias("path"))
     folders = folders.distinct().withColumn("level", F.size(F.split("path", "/")) - 1)
-    shown = F.when(F.col("size") < 1024, F.concat(F.col("size").cast("string"), F.lit("B"))).otherwise(F.concat(F.format_string("%.1f", F.col("size") / 1024), F.lit("KB")))
+    kilo = F.format_string("%.1f", F.bround(F.col("size") / 1024, 1))  # halves go to the even tenth, as in SQL; Java's format takes them up
+    shown = F.when(F.col("size") < 1024, F.concat(F.col("size").cast("string"), F.lit("B"))).otherwise(F.concat(kilo, F.lit("KB")))
     leaf = F.concat(F.repeat(F.lit("  "), F.size(parts)), F.lit("📄 "), base_name(F.col("path")), F.lit(" ("), shown, F.lit(", ~"), F.ceil(F.col("size") / 4).cast("string"), F.lit(" tok)"))
     files_ = own.select("path", F.size(parts).alias("level"), leaf.alias("line"))
     name = F.regexp_extract("path", r"([^/]+)/$", 1)
