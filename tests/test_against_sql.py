@@ -21,3 +21,9 @@ def test_tree_rounds_halves_as_sql(spark, tmp_path):
     sizes = [*range(100, 120), *[1024 * k + part for k in range(12) for part in (0, 256, 512, 768)]]  # 9/1024 of them are shown
     got, want = both(spark, tmp_path, "repo_tree", [(i * 5, "x", "s", n) for i, n in enumerate(sizes)])
     assert got == want and any("(2.2KB" in x for x in want)
+
+
+def test_batch_shares_as_sql(spark, tmp_path):
+    texts = ["x" * m + " " * (n - m) for n, m in ((2000, 721), (2000, 723), (2000, 901), (8, 7), (16, 9), (400, 397), (80, 1))]
+    got, want = both(spark, tmp_path, "batch_stats", [(i, t, "s", 1) for i, t in enumerate([*texts, "", None, "the end"])])
+    assert got == want and sum("nan" in x for x in want) == 1

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.reduce import generated_notice, is_generated_file
-from textloom.functions.text import length16
+from textloom.functions.text import length16, round_binary
 from textloom.operators.repository import base_name, glob_pattern
 
 #: Longer files are refused.
@@ -34,6 +34,7 @@ def notice(text: Column, path: Column) -> Column:
 
 
 def batch_report(df: DataFrame, *, name_col: str, text_col: str = "text", compressed: str = "compressed") -> DataFrame:
-    """name, chars_before, chars_after, saved_pct of a compressed batch."""
+    """name, chars_before, chars_after, saved_pct of a compressed batch; the share of an empty text is NaN (0 of 0)."""
     n, m = length16(F.col(text_col)), length16(F.col(compressed))
-    return df.select(F.col(name_col).alias("name"), n.cast("long").alias("chars_before"), m.cast("long").alias("chars_after"), F.when(n > 0, F.round((n - m) / n * 100, 1)).alias("saved_pct"))
+    share = F.when(n > 0, round_binary((n - m) / n * 100, 1)).when(n == 0, float("nan"))
+    return df.select(F.col(name_col).alias("name"), n.cast("long").alias("chars_before"), m.cast("long").alias("chars_after"), share.alias("saved_pct"))
