@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import os
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from textloom.runtime import ship
-from textloom.workspace import scratch
+from textloom.workspace import Workspace  # noqa: F401
 
 #: Letters and digits of ASCII and everything beyond ASCII are word characters; A-Z is lowered.
 WORD_BYTES = bytes(
@@ -28,48 +27,6 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _place(spark: SparkSession, path: str) -> tuple:
-    """The file system of a path, and the path as it knows it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    files, where = _place(spark, path)
-    files.delete(where, True)
-
-
-class Workspace:
-    """A folder of tables in the shared place; it goes with close(), or when the driver ends.
-
-    The file system deletes it when the driver's JVM ends, so a session that was stopped before leaves nothing behind.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = scratch(spark, name)
-        files, where = _place(spark, self.path)
-        files.mkdirs(where)
-        files.deleteOnExit(where)
-        atexit.register(self.close)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as a table and reads it again: its lineage ends here, and lost executors cost nothing."""
-        at = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.path}/{name}")
-
-    def close(self) -> None:
-        atexit.unregister(self.close)
-        try:
-            _delete(self.spark, self.path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,8 +15,8 @@ from textloom.config import MODES
 from textloom.functions import dicts, redact, reduce, shield
 from textloom.functions.languages import detect_language
 from textloom.functions.lexical import lexical
-from textloom.functions.text import estimate_tokens, length16
-from textloom.operators import cache, dedup, diff, distill, levels, recall, repository, search, session
+from textloom.functions.text import estimate_tokens, length16, round_binary
+from textloom.operators import cache, dedup, diff, distill, levels, recall, repository, search, session, similar
 from textloom.operators.compress import at_all_levels, compress, savings
 from textloom.plans import sql
 from textloom.sources import files, messages, pages
@@ -255,11 +255,11 @@ _TOKENS = "SELECT {id} AS id, list_distinct(string_split_regex(text, '\\s+')) AS
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between classes of documents with equal token sets, by their smallest ids (id_a < id_b), and with kind
     `member` each document (id_b) with its class (id_a): what is similar to a class is similar to all its members."""
-    docs = documents(spark, sf_dir)
-    members = dedup.equal_sets(docs)
-    one = docs.join(members.where("rep_id = id").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    found = dedup.similar_pairs(one, one, 0.8, once=True)
-    links = found.select(F.lit("link").alias("kind"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
+    docs = table(spark, sf_dir, "documents")
+    # read three times, so a large table in few files is left as it lies too
+    few = docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    members, found = similar.classes(spread(docs) if few else docs, 0.8, dedup.LONGEST)
+    links = found.select(F.lit("link").alias("kind"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), round_binary(F.col("similarity"), 6).alias("similarity"))
     return links.unionByName(members.select(F.lit("member").alias("kind"), F.col("rep_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")))
 
 
