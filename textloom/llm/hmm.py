@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,21 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(LOWER_BYTES).split()
 
 
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of many texts as numbers of distinct ones, where each text's end, and the distinct words: words() of
+    all texts at once, by arrays."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    flat = split.flatten().dictionary_encode()
+    code, ends, own = flat.indices.to_numpy(), split.offsets.to_numpy()[1:], flat.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    if END in own:  # beside white space at a text's start or end
+        none = own.index(END)
+        full = code != none
+        before = np.concatenate([[0], np.cumsum(full)])
+        code, ends, own = code[full], before[ends], own[:none] + own[none + 1 :]
+        code = code - (code > none)
+    return code, ends, own
+
+
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
@@ -72,26 +89,37 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """token, class, c (in training texts), seen (in all texts): one row for each token; summed in each task first."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        train, held = Counter(), Counter()
+        train: dict[bytes, int] = {}
+        seen: dict[bytes, int] = {}
 
         def flush() -> dict[str, list]:
-            own = list(train.keys() | held.keys())
-            c, h = [train[w] for w in own], [held[w] for w in own]
+            own, n = list(seen.keys()), list(seen.values())
+            c = [train.get(w, 0) for w in own]
             train.clear()
-            held.clear()
-            return {"token": own, "class": [ending(w) for w in own], "c": c, "seen": [a + b for a, b in zip(c, h, strict=True)]}
+            seen.clear()
+            return {"token": own, "c": c, "seen": n}
 
         for x in batches:
-            for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
-                own = words(text)
+            if x["text"]:
+                code, ends, own = coded(x["text"])
+                lengths = np.diff(ends, prepend=0)
+                learned = np.array([fold(d, FOLDS) != HELD_OUT for d in x["doc_id"]], bool)
+                every = np.bincount(code, minlength=len(own)).tolist()
+                some = np.bincount(code[np.repeat(learned, lengths)], minlength=len(own)).tolist()
                 own.append(END)
-                (held if fold(doc_id, FOLDS) == HELD_OUT else train).update(own)
-            if len(train) + len(held) > 300_000:
+                every.append(len(ends))
+                some.append(int(learned.sum()))
+                for w, n, c in zip(own, every, some, strict=True):
+                    seen[w] = seen.get(w, 0) + n
+                    if c:
+                        train[w] = train.get(w, 0) + c
+            if len(seen) > 300_000:
                 yield flush()
         yield flush()
 
-    got = map_rows(docs, run, "token binary,class int,c long,seen long")
-    return got.groupBy("token").agg(F.max("class").alias("class"), F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+    got = map_rows(docs, run, "token binary,c long,seen long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+    class_ = F.crc32(F.substring("token", -3, 3)) % CLASSES  # ending()
+    return got.select("token", class_.cast("int").alias("class"), "c", "seen")
 
 
 def vocabulary(counts: DataFrame, *, head: int = HEAD, symbols: int = SYMBOLS) -> Vocabulary:
@@ -131,29 +159,37 @@ def symbols_of(docs: DataFrame, known: Vocabulary) -> DataFrame:
         get, singles = known.number.get, known.singles
         value, is_known = np.log10(known.count + 0.5), known.count > 0
         divisor = np.log10(known.class_total)
-        symbol, single = known.symbol, np.arange(len(known.count)) < singles
+        kind = "<u2" if len(known.share) < 65_536 else "<u4"
         for x in batches:
             out: dict[str, list] = {c: [] for c in ("symbols", "n_tokens", "head_known", "head_log", "class_log", "rest", "times")}
-            for text in x["text"]:
-                own = words(text)
-                own.append(END)
+            if x["text"]:
+                code, ends, own = coded(x["text"])
+                code, own = np.insert(code, ends, len(own)), [*own, END]  # each text's end token
+                ends = ends + np.arange(1, len(ends) + 1)
+                of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                # of the distinct words: number in the head, symbol, and what each adds to a text's sums
                 at = np.array([get(w, -1) for w in own], np.int64)
                 here = at >= 0
-                inside = at[here]
-                rest = [own[i] for i in np.flatnonzero(~here)]
-                symbols = np.empty(len(own), np.uint32)
-                symbols[here] = symbol[inside]
-                symbols[~here] = [singles + ending(w) for w in rest]
-                in_class = symbols[symbols >= singles] - singles
-                within = inside[~single[inside]]
-                times = Counter(rest)
-                out["symbols"].append(symbols.astype("<u2" if len(known.share) < 65_536 else "<u4").tobytes())
-                out["n_tokens"].append(len(own))
-                out["head_known"].append(int(is_known[inside].sum()))
-                out["head_log"].append(float(value[inside].sum()))
-                out["class_log"].append(float(value[within].sum() - divisor[in_class].sum()))
-                out["rest"].append(list(times.keys()))
-                out["times"].append(list(times.values()))
+                symbol = np.empty(len(own), np.uint32)
+                symbol[here] = known.symbol[at[here]]
+                symbol[~here] = [singles + ending(own[i]) for i in np.flatnonzero(~here).tolist()]
+                head_known, head_log, class_log = np.zeros(len(own)), np.zeros(len(own)), np.zeros(len(own))
+                head_known[here], head_log[here] = is_known[at[here]], value[at[here]]
+                classed = symbol >= singles
+                class_log[classed] = head_log[classed] - divisor[symbol[classed] - singles]
+                sums = lambda v: np.bincount(of, v[code], len(ends))
+                symbols = symbol.astype(kind)[code]
+                places = np.flatnonzero(~here[code])
+                cuts = np.searchsorted(places, ends).tolist()
+                rest, begin, cut = [own[i] for i in code[places].tolist()], 0, 0
+                for end, stop in zip(ends.tolist(), cuts, strict=True):
+                    times = Counter(rest[cut:stop])
+                    out["symbols"].append(symbols[begin:end].tobytes())
+                    out["rest"].append(list(times.keys()))
+                    out["times"].append(list(times.values()))
+                    begin, cut = end, stop
+                out["n_tokens"] = np.diff(ends, prepend=0).astype(np.int64)
+                out["head_known"], out["head_log"], out["class_log"] = sums(head_known).astype(np.int64), sums(head_log), sums(class_log)
             yield {"row": x["row"], "doc_id": x["doc_id"], "held_out": [fold(d, FOLDS) == HELD_OUT for d in x["doc_id"]]} | out
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
