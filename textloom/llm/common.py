@@ -99,6 +99,11 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
     for other in [x for x in _clear if x != name]:
         _clear.pop(other)()
     _clear[name] = clear or (lambda: None)
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that isn't used any more back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):

@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Workspace, claim, id_text, join_by_key, map_rows
-from textloom.llm.components import components
+from textloom.llm.components import components, unite
 from textloom.llm.exact import sieved
-from textloom.llm.simhash import SEED, _join, hashes, majority, name_classes, near, words
+from textloom.llm.simhash import SEED, hashes, majority, name_classes, near, words
 
 SHINGLE, LEAST = 5, 0.8
 #: Shingles of a component that meet in one task; a larger component is cut into parts of about this size.
@@ -141,7 +141,7 @@ def _compared(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         root, prints = place.copy(), rows[:, 5:].view(np.uint64)
         for a, b in near(prints[:, 0], first, np.maximum(last, first), RADIUS):
             close = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= BOTH
-            _join(root, a[close], b[close])
+            unite(root, a[close], b[close])
         own = np.flatnonzero(root != place)
         return {"a": rows[own, 4], "b": rows[root[own], 4]}
 

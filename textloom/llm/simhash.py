@@ -146,19 +146,6 @@ def near(prints: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -
             yield query[u], word[u] * 64 + lane
 
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Unites the sets of a and b; root[x] is the smallest member known of x's set."""
-    while True:
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (deeper := root[root]).tobytes() != root.tobytes():
-            root[:] = deeper
-
-
 def _links(radius: int):
     """Rows sorted by group in, a spanning star for each connected set of a group out: no more links than rows."""
 
@@ -188,7 +175,7 @@ def _links(radius: int):
         last = np.where(apart & (rows[:, 4] == 1), first, last)
         root = np.arange(len(rows))
         for a, b in near(rows[:, 5].astype(np.uint64), first, np.maximum(last, first), radius):
-            _join(root, a, b)
+            unite(root, a, b)
         own = np.flatnonzero(root != place)
         return {"a": rows[own, 5], "b": rows[root[own], 5]}
 
